@@ -1,0 +1,40 @@
+"""Lookup joins that stay balanced when a few keys hold much of the data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is split once it holds over one row in a hundred, so there are at most a hundred
+# such keys, whatever the size of the data.
+_MOST_HOT_KEYS = 100
+
+
+def spread_lookup(
+    rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, how: str = "inner", pieces: int = 64
+) -> DataFrame:
+    """Join `rows` to `lookup` (one row per `key`), splitting the hot keys of `rows`.
+
+    The hot keys come from a fixed-size frequency sketch over one column; counting a key as hot
+    by mistake only copies one lookup row. Rows of a hot key go to one of `pieces` parts by a
+    hash of `spread_by`, and the lookup row of that key is present in each part, so the result
+    is that of the plain join.
+    """
+    hot = F.broadcast(
+        rows.agg(
+            F.expr(f"approx_top_k({key}, {_MOST_HOT_KEYS})").alias("top"),
+            F.count(F.lit(1)).alias("all_rows"),
+        )
+        .select(F.explode("top").alias("entry"), "all_rows")
+        .where(F.col("entry.count") * _MOST_HOT_KEYS > F.col("all_rows"))
+        .select(F.col("entry.item").alias(key), F.lit(True).alias("is_hot"))
+    )
+    piece_of_row = F.when(F.col("is_hot"), F.pmod(F.xxhash64(spread_by), F.lit(pieces))).otherwise(0)
+    pieces_of_key = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    spread_rows = rows.join(hot, key, "left").withColumn("piece", piece_of_row.cast("int")).drop("is_hot")
+    spread_keys = (
+        lookup.join(hot, key, "left").withColumn("piece", F.explode(pieces_of_key)).drop("is_hot")
+    )
+    return spread_rows.join(spread_keys, [key, "piece"], how).drop("piece")
