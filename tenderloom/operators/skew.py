@@ -2,39 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is split once it holds over one row in a hundred, so there are at most a hundred
-# such keys, whatever the size of the data.
+# A key is split once it holds over one row in a hundred, so at most a hundred keys of a
+# column are hot, whatever the size of the data.
 _MOST_HOT_KEYS = 100
 
 
+def hot_keys(rows: DataFrame, *columns: str) -> dict[str, list]:
+    """For each column, the values that hold over one row in a hundred.
+
+    One job with a frequency sketch of fixed size per column; at most a hundred values of each
+    reach the driver. The sketch may overstate a count, which only splits a key needlessly.
+    """
+    sketches = [F.expr(f"approx_top_k(`{name}`, {_MOST_HOT_KEYS})").alias(name) for name in columns]
+    found = rows.agg(F.count(F.lit(1)).alias("all rows"), *sketches).first()
+    return {
+        name: [
+            entry["item"]
+            for entry in found[name] or []
+            if entry["item"] is not None and entry["count"] * _MOST_HOT_KEYS > found["all rows"]
+        ]
+        for name in columns
+    }
+
+
 def spread_lookup(
-    rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, how: str = "inner", pieces: int = 64
+    rows: DataFrame, lookup: DataFrame, key: str, hot: Sequence, spread_by: str, pieces: int = 64
 ) -> DataFrame:
-    """Join `rows` to `lookup` (one row per `key`), splitting the hot keys of `rows`.
+    """Inner join of `rows` with `lookup` (one row per `key`), with the `hot` keys split up.
 
-    The hot keys come from a fixed-size frequency sketch over one column; counting a key as hot
-    by mistake only copies one lookup row. Rows of a hot key go to one of `pieces` parts by a
-    hash of `spread_by`, and the lookup row of that key is present in each part, so the result
-    is that of the plain join.
+    Rows of a hot key go to one of `pieces` parts by a hash of `spread_by`, and the lookup row
+    of that key is present in each part, so the result is that of the plain join, which is what
+    runs when no key is hot.
     """
-    hot = F.broadcast(
-        rows.agg(
-            F.expr(f"approx_top_k({key}, {_MOST_HOT_KEYS})").alias("top"),
-            F.count(F.lit(1)).alias("all_rows"),
-        )
-        .select(F.explode("top").alias("entry"), "all_rows")
-        .where(F.col("entry.count") * _MOST_HOT_KEYS > F.col("all_rows"))
-        .select(F.col("entry.item").alias(key), F.lit(True).alias("is_hot"))
-    )
-    piece_of_row = F.when(F.col("is_hot"), F.pmod(F.xxhash64(spread_by), F.lit(pieces))).otherwise(0)
-    pieces_of_key = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    spread_rows = rows.join(hot, key, "left").withColumn("piece", piece_of_row.cast("int")).drop("is_hot")
-    spread_keys = (
-        lookup.join(hot, key, "left").withColumn("piece", F.explode(pieces_of_key)).drop("is_hot")
+    if not hot:
+        return rows.join(lookup, key)
+    is_hot = F.col(key).isin(*hot)
+    piece_of_row = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(pieces)).cast("int")).otherwise(0)
+    pieces_of_key = F.when(is_hot, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
+    return (
+        rows.withColumn("piece", piece_of_row)
+        .join(lookup.withColumn("piece", F.explode(pieces_of_key)), [key, "piece"])
+        .drop("piece")
     )
-    return spread_rows.join(spread_keys, [key, "piece"], how).drop("piece")
