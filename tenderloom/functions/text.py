@@ -53,8 +53,11 @@ def to_number(text: Column) -> Column:
 
 
 def leading_date(text: Column) -> Column:
-    """The YYYY-MM-DD at the start of the text. A UTC offset after it is dropped, not applied."""
-    return F.when(F.length(text) >= 10, F.try_to_date(F.left(text, F.lit(10)), "yyyy-MM-dd"))
+    """The YYYY-MM-DD at the start of the text. A UTC offset after it is dropped, not applied.
+
+    The pattern is checked first, since the cast alone would accept 2025-1-2.
+    """
+    return F.when(F.rlike(text, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}")), F.left(text, F.lit(10)).try_cast("date"))
 
 
 def thousands(number: Column) -> Column:
