@@ -322,8 +322,8 @@ def queries() -> dict[str, Query]:
         **scores,
         "normalize_notices": _normalized,
         "parse_tenders": lambda s, d: _flat_tenders(_parsed_from_text(s, d)),
-        "scan_notice_pages": _scanned_pages,
-        "scan_feed_entries": _scanned_entries,
+        "scan_ted_pages": _scanned_pages,
+        "scan_atom_entries": _scanned_entries,
         "upsert_notices": _upserted_notices,
         "upsert_tenders": _upserted_tenders,
     }

@@ -15,6 +15,10 @@ def is_pdf(content: Column) -> Column:
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files below `path` with their size and whether they are PDF."""
+    """Files below `path` with their size and whether they are PDF.
+
+    Spark lists no empty files. Scoring joins from the tenders, so a tender whose document is
+    missing here counts as never read instead of dropping out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", is_pdf(F.col("content")).alias("is_pdf"))

@@ -12,12 +12,17 @@ from tenderloom.schemas import FEED_ENTRY
 _OPTIONS = {"rowTag": "entry", "ignoreNamespace": "true", "mode": "FAILFAST"}
 
 
-def _located(entries: DataFrame) -> DataFrame:
-    landed = F.struct(
-        F.col("_metadata.file_modification_time").alias("part_0"),
-        F.col("_metadata.file_path").alias("part_1"),
-        F.monotonically_increasing_id().alias("position"),
+def _with_arrival(entries: DataFrame) -> DataFrame:
+    return entries.select(
+        *FEED_ENTRY.names,
+        F.col("_metadata.file_modification_time").alias("landed_at"),
+        F.col("_metadata.file_path").alias("file"),
     )
+
+
+def number_entries(entries: DataFrame) -> DataFrame:
+    """Entries with `landed`, which orders them by arrival: file by file, then by position."""
+    landed = F.struct("landed_at", "file", F.monotonically_increasing_id().alias("position"))
     return entries.select(*FEED_ENTRY.names, landed.alias("landed"))
 
 
@@ -26,13 +31,14 @@ def scan_entries(spark: SparkSession, path: str, max_entries: int | None = None)
 
     One task reads one page; pages are bounded by the publisher, at some 15 MB.
     """
-    entries = _located(spark.read.format("xml").options(**_OPTIONS).schema(FEED_ENTRY).load(path))
+    reader = spark.read.format("xml").options(**_OPTIONS).schema(FEED_ENTRY)
+    entries = number_entries(_with_arrival(reader.load(path)))
     return entries if max_entries is None else entries.limit(max_entries)
 
 
 def stream_entries(spark: SparkSession, path: str) -> DataFrame:
-    """As `scan_entries`, for pages as they arrive."""
-    return _located(spark.readStream.format("xml").options(**_OPTIONS).schema(FEED_ENTRY).load(path))
+    """Entries as their pages arrive; each micro-batch goes through `number_entries`."""
+    return _with_arrival(spark.readStream.format("xml").options(**_OPTIONS).schema(FEED_ENTRY).load(path))
 
 
 def entry_from_text(text: Column) -> Column:

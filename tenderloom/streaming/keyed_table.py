@@ -1,0 +1,87 @@
+"""A Parquet table with insert-or-replace by key, for landings without a MERGE-capable format.
+
+Every batch is written to a folder of its own and readers merge: the newest row of a key wins.
+A folder counts only once Spark has marked it complete, and a batch that is run again replaces
+its own folder, so a lost executor, or a lost driver, leaves neither gaps nor repeats. Folding
+the batches into one base from time to time keeps reads cheap.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tenderloom.operators.upsert import latest_rows, merge_rows
+
+_REMOVED = "removed"
+
+
+@dataclass(frozen=True)
+class KeyedTable:
+    path: str
+    key: str
+    schema: T.StructType
+
+    def write_batch(self, rows: DataFrame, batch_id: int, order: str) -> None:
+        """Store a batch: the last row of each key by `order`. Run again, it replaces itself."""
+        newest = latest_rows(rows.select(*self.schema.names, order), self.key, order)
+        self.write_changes(newest.withColumn(_REMOVED, F.lit(False)), batch_id)
+
+    def write_changes(self, rows: DataFrame, batch_id: int) -> None:
+        """Store rows that are unique by key; those with `removed` set take their key out."""
+        rows.select(*self.schema.names, _REMOVED).write.mode("overwrite").parquet(self._folder("batch", batch_id))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The current rows, one per key.
+
+        Only the batches since the last fold are reduced by key; the base is not shuffled as
+        long as their keys are small enough to broadcast.
+        """
+        return self._read_until(spark, None)
+
+    def read_before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The rows as they were before a batch, also when that batch is run again."""
+        return self._read_until(spark, batch_id - 1)
+
+    def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The rows that one batch stored."""
+        return spark.read.schema(self.schema).parquet(self._folder("batch", batch_id))
+
+    def fold(self, spark: SparkSession, through: int) -> None:
+        """Write the state after batch `through` as the new base; older folders are left alone."""
+        self._read_until(spark, through).write.mode("overwrite").parquet(self._folder("base", through))
+
+    def _folder(self, part: str, number: int) -> str:
+        return f"{self.path}/{part}/{number}"
+
+    def _complete(self, spark: SparkSession, part: str) -> list[int]:
+        """Numbers of the folders whose write has finished."""
+        jvm = spark.sparkContext._jvm
+        parent = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        files = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(parent):
+            return []
+        found = [int(entry.getPath().getName()) for entry in files.listStatus(parent) if entry.isDirectory()]
+        marks = {n: jvm.org.apache.hadoop.fs.Path(f"{self._folder(part, n)}/_SUCCESS") for n in found}
+        return sorted(n for n, mark in marks.items() if files.exists(mark))
+
+    def _read_until(self, spark: SparkSession, last: int | None) -> DataFrame:
+        wanted = [n for n in self._complete(spark, "batch") if last is None or n <= last]
+        bases = [n for n in self._complete(spark, "base") if last is None or n <= last]
+        base = (
+            spark.read.schema(self.schema).parquet(self._folder("base", bases[-1]))
+            if bases
+            else spark.createDataFrame([], self.schema)
+        )
+        recent = [n for n in wanted if not bases or n > bases[-1]]
+        if not recent:
+            return base
+        stored = T.StructType([*self.schema.fields, T.StructField(_REMOVED, T.BooleanType())])
+        batches = spark.read.schema(stored).parquet(*[self._folder("batch", n) for n in recent])
+        number = F.regexp_extract("_metadata.file_path", r"/batch/(\d+)/[^/]*$", 1).cast("long")
+        newest = latest_rows(batches.withColumn("batch", number), self.key, "batch")
+        merged = merge_rows(base.withColumn(_REMOVED, F.lit(False)), newest, self.key)
+        return merged.where(~F.col(_REMOVED)).select(*self.schema.names)

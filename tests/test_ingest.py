@@ -1,0 +1,193 @@
+"""Landed pages, the keyed table, incremental ingestion and the dataset build."""
+
+from __future__ import annotations
+
+import json
+import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tenderloom.plans.dataset import build_dataset, resume_date
+from tenderloom.schemas import NOTICES
+from tenderloom.sources.notice_pages import scan_pages
+from tenderloom.streaming import ingest
+from tenderloom.streaming.keyed_table import KeyedTable
+
+
+def hit(number, kind="cn-standard", procedure="P1", date="2025-01-01+01:00", **more):
+    fields = {
+        "publication-number": number,
+        "notice-type": kind,
+        "procedure-identifier": procedure,
+        "publication-date": date,
+    } | {name.replace("_", "-"): value for name, value in more.items()}
+    return {name: value for name, value in fields.items() if value is not None}
+
+
+def land(folder, name, *hits, age=0):
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, name)
+    with open(path, "w", encoding="utf-8") as page:
+        json.dump({"notices": list(hits), "totalNoticeCount": len(hits), "iterationNextToken": None}, page, indent=1)
+    stamp = time.time() - age
+    os.utime(path, (stamp, stamp))
+
+
+def test_pages(spark, tmp_path):
+    folder = str(tmp_path)
+    land(folder, "b.json", hit("1"), hit("2"), age=100)
+    land(folder, "a.json", hit("3"), age=50)
+    land(folder, "empty.json")
+    with open(os.path.join(folder, "none.json"), "w") as page:
+        page.write('{"totalNoticeCount": 0}')
+    ordered = scan_pages(spark, folder).orderBy("landed").collect()
+    assert [json.loads(row.notice)["publication-number"] for row in ordered] == ["1", "2", "3"]
+    assert scan_pages(spark, folder, max_notices=2).count() == 2
+
+
+def test_pages_in_lines(spark, tmp_path):
+    with open(tmp_path / "pages.jsonl", "w") as lines:
+        for start in (0, 2):
+            lines.write(json.dumps({"notices": [hit(str(start)), hit(str(start + 1))]}) + "\n")
+    ordered = scan_pages(spark, str(tmp_path), page_per_line=True).orderBy("landed").collect()
+    assert [json.loads(row.notice)["publication-number"] for row in ordered] == ["0", "1", "2", "3"]
+
+
+def test_broken_page_fails(spark, tmp_path):
+    (tmp_path / "page.json").write_text('{"notices": [{"publication-number": "1"')
+    with pytest.raises(Exception, match="(?i)malformed|FAILED_READ_FILE"):
+        scan_pages(spark, str(tmp_path)).collect()
+
+
+KEYED = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.IntegerType())])
+
+
+def test_keyed_table(spark, tmp_path):
+    table = KeyedTable(str(tmp_path / "t"), "k", KEYED)
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "k string, v int, seq int")
+
+    def state():
+        return sorted(map(tuple, table.read(spark).collect()))
+
+    assert state() == []
+    table.write_batch(batch(("a", 1, 1), ("b", 1, 1), ("a", 2, 2)), 0, "seq")
+    assert state() == [("a", 2), ("b", 1)]
+    table.write_batch(batch(("a", 3, 0), ("c", 3, 0)), 1, "seq")
+    assert state() == [("a", 3), ("b", 1), ("c", 3)]
+    table.write_batch(batch(("a", 3, 0), ("c", 3, 0)), 1, "seq")
+    assert state() == [("a", 3), ("b", 1), ("c", 3)]
+    assert sorted(map(tuple, table.read_before(spark, 1).collect())) == [("a", 2), ("b", 1)]
+    table.fold(spark, 1)
+    assert state() == [("a", 3), ("b", 1), ("c", 3)]
+    table.write_changes(spark.createDataFrame([("b", None, True), ("d", 4, False)], "k string, v int, removed boolean"), 2)
+    assert state() == [("a", 3), ("c", 3), ("d", 4)]
+    table.fold(spark, 2)
+    assert state() == [("a", 3), ("c", 3), ("d", 4)]
+    # a batch that was never finished is not read
+    os.makedirs(tmp_path / "t" / "batch" / "3")
+    assert state() == [("a", 3), ("c", 3), ("d", 4)]
+
+
+def run(query):
+    assert query.awaitTermination(120)
+    assert query.exception() is None
+
+
+def test_incremental_notices_and_links(spark, tmp_path):
+    landing, root, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+
+    def links():
+        rows = ingest.links_table(root).read(spark).collect()
+        return {r.procedure_id: (r.tender_pub, r.award_pub, r.outcome, r.lag_days) for r in rows}
+
+    land(landing, "1.json", hit("T1"), hit("T2", procedure="P2"), hit("T1", notice_title="second copy"), age=300)
+    run(ingest.ingest_notices(spark, landing, root, checkpoint))
+    stored = {r.publication_number: r for r in ingest.notices_table(root).read(spark).collect()}
+    assert stored["T1"].title == "second copy" and len(stored) == 2
+    assert links() == {"P1": ("T1", None, "unknown", None), "P2": ("T2", None, "unknown", None)}
+
+    # an award arrives, and a notice is corrected to another procedure and an older date
+    award = hit("W1", "can-standard", date="2025-01-31", winner_selection_status=["clos-nw"])
+    land(landing, "2.json", award, hit("T2", procedure="P3", date="2024-12-01"), age=200)
+    run(ingest.ingest_notices(spark, landing, root, checkpoint))
+    assert links() == {"P1": ("T1", "W1", "desierto", 30), "P3": ("T2", None, "unknown", None)}
+    notices = ingest.notices_table(root).read(spark)
+    assert notices.columns == NOTICES.names and notices.count() == 3
+
+    # nothing new lands, then all of it again: the state stays as it is
+    run(ingest.ingest_notices(spark, landing, root, checkpoint))
+    land(landing, "3.json", award, hit("T1", notice_title="second copy"))
+    run(ingest.ingest_notices(spark, landing, root, checkpoint))
+    assert links() == {"P1": ("T1", "W1", "desierto", 30), "P3": ("T2", None, "unknown", None)}
+    assert ingest.notices_table(root).read(spark).count() == 3
+
+
+def test_hits_without_number_are_quarantined(spark, tmp_path):
+    landing, aside = str(tmp_path / "in"), str(tmp_path / "aside")
+    land(landing, "1.json", hit("T1"), {"notice-type": "cn-standard"})
+    run(ingest.ingest_notices(spark, landing, str(tmp_path / "out"), str(tmp_path / "check"), quarantine=aside))
+    assert ingest.notices_table(str(tmp_path / "out")).read(spark).count() == 1
+    assert spark.read.json(f"{aside}/*").count() == 1
+
+
+def test_incremental_tenders(spark, tmp_path):
+    landing, root, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    landing.mkdir()
+
+    def page(name, *entries, age):
+        body = "".join(
+            f"<entry><id>{key}</id><e:ContractFolderStatus><b:ContractFolderID>{value}</b:ContractFolderID>"
+            "</e:ContractFolderStatus></entry>"
+            for key, value in entries
+        )
+        path = landing / name
+        path.write_text(f'<feed xmlns="urn:f" xmlns:b="urn:b" xmlns:e="urn:e">{body}</feed>')
+        os.utime(path, (time.time() - age,) * 2)
+
+    page("1.atom", ("t1", "first"), ("t2", "first"), ("t1", "again"), ("", "lost"), age=100)
+    run(ingest.ingest_tenders(spark, str(landing), root, checkpoint))
+    page("2.atom", ("t2", "later"), ("t3", "new"), age=50)
+    run(ingest.ingest_tenders(spark, str(landing), root, checkpoint))
+    rows = {r.entry_id: r.expediente for r in ingest.tenders_table(root).read(spark).collect()}
+    assert rows == {"t1": "again", "t2": "later", "t3": "new"}
+
+
+def test_dataset_build(spark, tmp_path):
+    landing = str(tmp_path / "in")
+    land(f"{landing}/country=ESP", "1.json", hit("T1"), hit("T1"), hit("T2", procedure="P2", date="2025-03-01"),
+         hit("O1", "pin-only"), hit("S1", "cn-social"))
+    land(f"{landing}/country=FRA", "1.json", hit("F1", procedure="PF"))
+    first = build_dataset(spark, landing, None, str(tmp_path / "v1"), "2025-01-01", "2025-02-28", country="ESP")
+    report = {(r.measure, r.label): r.value for r in first.collect()}
+    assert report == {
+        ("ingested", "tender"): 2.0,
+        ("linked", "all"): 1.0,
+        ("outcome", "unknown"): 1.0,
+        ("median_lag_days", "all"): None,
+    }
+    stored = spark.read.schema(NOTICES).parquet(str(tmp_path / "v1" / "notices"))
+    assert str(resume_date(stored)) == "2025-01-01"
+    assert [row.publication_number for row in stored.collect()] == ["T1"]
+
+    land(f"{landing}/country=ESP", "2.json",
+         hit("W1", "can-standard", date="2025-02-20", winner_selection_status=["selec-w"], result_value_notice="9.5"))
+    second = build_dataset(
+        spark, landing, str(tmp_path / "v1"), str(tmp_path / "v2"), resume_date(stored), "2025-12-31", country="ESP"
+    )
+    report = {(r.measure, r.label): r.value for r in second.collect()}
+    assert report == {
+        ("ingested", "tender"): 3.0,
+        ("ingested", "award"): 1.0,
+        ("linked", "all"): 2.0,
+        ("outcome", "awarded"): 1.0,
+        ("outcome", "unknown"): 1.0,
+        ("median_lag_days", "all"): 50.0,
+    }
+    kinds = spark.read.schema(NOTICES).parquet(str(tmp_path / "v2" / "notices")).groupBy("kind").count()
+    assert {r.kind: r["count"] for r in kinds.collect()} == {"tender": 2, "award": 1}
+    assert resume_date(stored.where(F.lit(False))) is None
