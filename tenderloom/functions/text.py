@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 # SQL trim alone would only remove blanks.
 _WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-# An optionally signed decimal with digit-group underscores and an optional exponent.
+# An optionally signed decimal with digit-group underscores and an optional exponent, and the
+# words for infinity and not-a-number, with white space around them.
 # The cast alone would accept Java suffixes ("12d") and reject "1_000".
 _DIGITS = r"\d+(?:_\d+)*"
-_NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+_DECIMAL = rf"[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+_AROUND = r"[\s\x1c-\x1f\x85\p{Z}]*"
+_NUMBER = rf"^{_AROUND}{_DECIMAL}{_AROUND}$"
+_WORD = rf"(?i)^{_AROUND}[+-]?(?:nan|inf|infinity){_AROUND}$"
 
 
 def strip(text: Column) -> Column:
@@ -42,21 +46,17 @@ def fold_case(text: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """Text to DOUBLE; NULL when it is not a number."""
-    trimmed = strip(text)
-    word = F.lower(F.ltrim(trimmed, F.lit("+-")))
-    special = F.rlike(trimmed, F.lit(r"^[+-]?[a-zA-Z]+$")) & word.isin("nan", "inf", "infinity")
-    spelled = F.when(word == "nan", F.lit("NaN")).otherwise(
-        F.when(trimmed.startswith("-"), F.lit("-Infinity")).otherwise(F.lit("Infinity"))
-    )
+    word = F.lower(strip(text))
+    value = F.when(word.endswith("nan"), "NaN").when(word.startswith("-"), "-Infinity").otherwise("Infinity")
     return F.when(
-        F.rlike(trimmed, F.lit(_NUMBER)), F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double")
-    ).when(special, spelled.cast("double"))
+        F.rlike(text, F.lit(_NUMBER)), F.replace(strip(text), F.lit("_"), F.lit("")).try_cast("double")
+    ).when(F.rlike(text, F.lit(_WORD)), value.cast("double"))
 
 
 def leading_date(text: Column) -> Column:
     """The YYYY-MM-DD at the start of the text. A UTC offset after it is dropped, not applied.
 
-    The pattern is checked first, since the cast alone would accept 2025-1-2.
+    Only that form is handed to the cast, which by itself would accept 2025-1-2.
     """
     return F.when(F.rlike(text, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}")), F.left(text, F.lit(10)).try_cast("date"))
 

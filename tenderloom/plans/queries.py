@@ -95,14 +95,10 @@ def _flat_notices(notices: DataFrame) -> DataFrame:
     )
 
 
-def _hits(spark: SparkSession, folder: str) -> DataFrame:
-    return sample.tender_hits(spark, folder).select("notice").unionByName(
-        sample.award_hits(spark, folder).select("notice")
-    )
-
-
 def _normalized(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat_notices(require_keyed(normalize_notices(_hits(spark, folder))))
+    pages = sample.notice_pages(spark, folder)
+    hits = pages.select(F.explode(notice_pages.hits_from_text(F.col("value"))).alias("notice"))
+    return _flat_notices(require_keyed(normalize_notices(hits)))
 
 
 def _scanned_pages(spark: SparkSession, folder: str) -> DataFrame:

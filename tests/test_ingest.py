@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenderloom.plans.dataset import build_dataset, resume_date
+from tenderloom.plans.views import register_dataset, register_ingested
 from tenderloom.schemas import NOTICES
 from tenderloom.sources.notice_pages import scan_pages
 from tenderloom.streaming import ingest
@@ -118,6 +119,12 @@ def test_incremental_notices_and_links(spark, tmp_path):
     assert links() == {"P1": ("T1", "W1", "desierto", 30), "P3": ("T2", None, "unknown", None)}
     notices = ingest.notices_table(root).read(spark)
     assert notices.columns == NOTICES.names and notices.count() == 3
+    register_ingested(spark, root)
+    asked = "SELECT l.outcome, n.title FROM procedure_links l JOIN notices n ON n.publication_number = l.tender_pub"
+    assert sorted(map(str, spark.sql(asked).collect())) == [
+        "Row(outcome='desierto', title='second copy')", "Row(outcome='unknown', title=None)"
+    ]
+    assert spark.table("tenders").count() == 0
 
     # nothing new lands, then all of it again: the state stays as it is
     run(ingest.ingest_notices(spark, landing, root, checkpoint))
@@ -190,4 +197,6 @@ def test_dataset_build(spark, tmp_path):
     }
     kinds = spark.read.schema(NOTICES).parquet(str(tmp_path / "v2" / "notices")).groupBy("kind").count()
     assert {r.kind: r["count"] for r in kinds.collect()} == {"tender": 2, "award": 1}
+    register_dataset(spark, str(tmp_path / "v2"))
+    assert spark.sql("SELECT tender_pub FROM procedure_links WHERE outcome = 'awarded'").first()[0] == "T1"
     assert resume_date(stored.where(F.lit(False))) is None
