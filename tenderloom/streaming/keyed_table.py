@@ -57,26 +57,26 @@ class KeyedTable:
     def _folder(self, part: str, number: int) -> str:
         return f"{self.path}/{part}/{number}"
 
-    def _complete(self, spark: SparkSession, part: str) -> list[int]:
-        """Numbers of the folders whose write has finished."""
+    def _complete(self, spark: SparkSession, part: str, after: int, last: int | None) -> list[int]:
+        """Numbers of the folders in (after, last] whose write has finished."""
         jvm = spark.sparkContext._jvm
         parent = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
         files = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not files.exists(parent):
             return []
         found = [int(entry.getPath().getName()) for entry in files.listStatus(parent) if entry.isDirectory()]
-        marks = {n: jvm.org.apache.hadoop.fs.Path(f"{self._folder(part, n)}/_SUCCESS") for n in found}
-        return sorted(n for n, mark in marks.items() if files.exists(mark))
+        in_range = sorted(n for n in found if n > after and (last is None or n <= last))
+        marks = {n: jvm.org.apache.hadoop.fs.Path(f"{self._folder(part, n)}/_SUCCESS") for n in in_range}
+        return [n for n in in_range if files.exists(marks[n])]
 
     def _read_until(self, spark: SparkSession, last: int | None) -> DataFrame:
-        wanted = [n for n in self._complete(spark, "batch") if last is None or n <= last]
-        bases = [n for n in self._complete(spark, "base") if last is None or n <= last]
+        bases = self._complete(spark, "base", -1, last)
         base = (
             spark.read.schema(self.schema).parquet(self._folder("base", bases[-1]))
             if bases
             else spark.createDataFrame([], self.schema)
         )
-        recent = [n for n in wanted if not bases or n > bases[-1]]
+        recent = self._complete(spark, "batch", bases[-1] if bases else -1, last)
         if not recent:
             return base
         stored = T.StructType([*self.schema.fields, T.StructField(_REMOVED, T.BooleanType())])

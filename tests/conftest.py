@@ -23,6 +23,7 @@ def spark():
         spark__driver__memory="4g",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
+        spark__sql__maxMetadataStringLength="10000",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
