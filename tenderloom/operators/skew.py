@@ -31,21 +31,27 @@ def hot_keys(rows: DataFrame, *columns: str) -> dict[str, list]:
 
 
 def spread_lookup(
-    rows: DataFrame, lookup: DataFrame, key: str, hot: Sequence, spread_by: str, pieces: int = 64
+    rows: DataFrame,
+    key: str,
+    lookups: Sequence[tuple[DataFrame, str]],
+    hot: Sequence,
+    spread_by: str,
+    pieces: int = 64,
 ) -> DataFrame:
-    """Inner join of `rows` with `lookup` (one row per `key`), with the `hot` keys split up.
+    """Join `rows` with each (lookup, how), one row per `key` in each, with the `hot` keys split up.
 
-    Rows of a hot key go to one of `pieces` parts by a hash of `spread_by`, and the lookup row
-    of that key is present in each part, so the result is that of the plain join, which is what
-    runs when no key is hot.
+    Rows of a hot key go to one of `pieces` parts by a hash of `spread_by`, and the lookup rows
+    of that key are present in each part, so the result is that of the plain joins, which are
+    what runs when no key is hot. All lookups share one shuffle of the rows.
     """
-    if not hot:
-        return rows.join(lookup, key)
-    is_hot = F.col(key).isin(*hot)
-    piece_of_row = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(pieces)).cast("int")).otherwise(0)
-    pieces_of_key = F.when(is_hot, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
-    return (
-        rows.withColumn("piece", piece_of_row)
-        .join(lookup.withColumn("piece", F.explode(pieces_of_key)), [key, "piece"])
-        .drop("piece")
-    )
+    on = [key]
+    if hot:
+        is_hot = F.col(key).isin(*hot)
+        piece_of_row = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(pieces)).cast("int")).otherwise(0)
+        pieces_of_key = F.when(is_hot, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
+        rows = rows.withColumn("piece", piece_of_row)
+        lookups = [(lookup.withColumn("piece", F.explode(pieces_of_key)), how) for lookup, how in lookups]
+        on.append("piece")
+    for lookup, how in lookups:
+        rows = rows.join(lookup, on, how)
+    return rows.drop("piece") if hot else rows

@@ -110,6 +110,9 @@ def test_company_without_conditions(spark):
         "no certification requirement found in the pliego",
         "no self-imposed contract ceiling",
     ]
+    asked = spark.createDataFrame([("t", "Bare")], "tender_id string, company string")
+    profile = spark.createDataFrame([("Bare", None, None, None, None)], PROFILES)
+    assert outcomes(eligibility.check_bids(asked, tenders, profile).first()) == outcomes(row)
     held = spark.createDataFrame([("t", None, ["A"])], REQUIREMENTS)
     assert eligibility.check_company(tenders, bare, held).first().verdict == "not_eligible"
 
@@ -182,9 +185,12 @@ def test_hot_keys_are_spread_without_losing_rows(spark):
     lookup = rows.select("k").distinct().withColumn("v", F.length("k"))
     hot = skew.hot_keys(rows, "k", "other")
     assert hot == {"k": ["hot"], "other": []}
-    joined = skew.spread_lookup(rows, lookup, "k", hot["k"], spread_by="other")
+    joined = skew.spread_lookup(rows, "k", [(lookup, "inner")], hot["k"], spread_by="other")
     assert joined.columns == ["k", "other", "v"]
     assert joined.exceptAll(rows.join(lookup, "k")).count() == 0 and joined.count() == 9000
+    some = lookup.where("v = 3").withColumnRenamed("v", "w")
+    both = skew.spread_lookup(rows, "k", [(lookup, "inner"), (some, "left")], hot["k"], spread_by="other")
+    assert both.count() == 9000 and both.where("w = 3").count() == rows.where("length(k) = 3").count()
 
 
 # --- grading ----------------------------------------------------------------------------
