@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.schemas import AWARD, PROCEDURE_LINKS, RESOLVED_OUTCOMES, TENDER, UNKNOWN
+from tenderloom.sources.tables import linkable
 
 
 def procedure_facts(notices: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def resolved_outcomes(links: DataFrame) -> DataFrame:
 
 def award_procedures(notices: DataFrame) -> DataFrame:
     """Procedures that have an award notice."""
-    return notices.where((F.col("kind") == AWARD) & F.col("procedure_id").isNotNull()).select("procedure_id").distinct()
+    return linkable(notices, AWARD).select("procedure_id").distinct()
 
 
 def backfill_worklist(notices: DataFrame, max_procedures: int | None = None) -> DataFrame:
