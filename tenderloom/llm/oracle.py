@@ -26,7 +26,6 @@ WITH words AS (
         CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
         CAST(len(list_filter(ls, lambda x: regexp_matches(x, '(…|[.][.][.])[\x20\x09-\x0D]*$'))) AS BIGINT) AS n_ellipsis_lines,
         CAST(len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*[-•*‣◦]\x20'))) AS BIGINT) AS n_bullet_lines,
-        CAST(len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS BIGINT) AS n_letter_words,
         CAST(len(list_filter(ws, lambda x: lower(x) IN ({_STOP}))) AS BIGINT) AS n_stop_words,
         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
     FROM words w LEFT JOIN inside USING (doc_id)
@@ -36,10 +35,9 @@ WITH words AS (
         CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 'repeated_words' END,
         CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 'word_length' END,
         CASE WHEN n_words > 0 AND 10 * n_symbols > n_words THEN 'symbols' END,
-        CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 'repeated_lines' END,
+        CASE WHEN 2 * n_dup_lines > n_lines THEN 'repeated_lines' END,
         CASE WHEN 10 * n_ellipsis_lines > 3 * n_lines THEN 'open_lines' END,
         CASE WHEN 10 * n_bullet_lines > 9 * n_lines THEN 'bullet_lines' END,
-        CASE WHEN 10 * n_letter_words < 7 * n_words THEN 'words_with_letters' END,
         CASE WHEN n_stop_words < 2 THEN 'stop_words' END) AS broken_rules
     FROM measured
 )

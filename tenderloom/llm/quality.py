@@ -47,14 +47,13 @@ BASE_RULES = (
 RULES = (
     Rule("word_length", "word_chars", "n_words", low=2, high=20),
     Rule("symbols", "n_symbols", "n_words", high=0.1),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.5),
     Rule("open_lines", "n_ellipsis_lines", "n_lines", high=0.3),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=0.9),
-    Rule("words_with_letters", "n_letter_words", "n_words", low=0.7),
     Rule("stop_words", "n_stop_words", low=2),
 )
 MEASURES = (
-    "n_words word_chars n_symbols n_lines n_dup_lines n_ellipsis_lines n_bullet_lines n_letter_words n_stop_words "
+    "n_words word_chars n_symbols n_lines n_dup_lines n_ellipsis_lines n_bullet_lines n_stop_words "
     "n_repeat_words"
 ).split()
 
@@ -64,70 +63,63 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that lie in a window of eight words found twice or more in the text."""
-
-    def covered(windows: Column) -> Column:
-        by_hash = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        alike = lambda row, other: F.coalesce(row["h"] == other["h"], F.lit(False))
-        found = once(
-            by_hash,
-            lambda rows: F.filter(
-                rows, lambda row, k: alike(row, F.get(rows, k - 1)) | alike(row, F.get(rows, k + 1))
-            ),
-        )
-        places = F.array_sort(F.transform(found, lambda row: row["i"]))
-        start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
-        return F.aggregate(
-            places,
-            start,
-            lambda seen, i: F.struct(i.alias("last"), (seen["n"] + F.least(F.lit(WINDOW), i - seen["last"])).alias("n")),
-            lambda seen: seen["n"],
-        )
-
-    def of_hashes(hashes: Column) -> Column:
-        windows = F.transform(
+def window_hashes(words: Column) -> Column:
+    """One hash for each window of eight words."""
+    return once(
+        F.transform(words, lambda word: F.xxhash64(word)),
+        lambda hashes: F.transform(
             F.sequence(F.lit(0), F.size(hashes) - WINDOW),
             lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]),
-        )
-        return once(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(covered(w)))
-
-    return F.when(F.size(words) <= WINDOW, 0).otherwise(
-        once(F.transform(words, lambda word: F.xxhash64(word)), of_hashes)
+        ),
     )
 
 
-def measures(text: Column, stop_words: Sequence[str]) -> Column:
-    """A struct of all measures of a text."""
-    text = F.coalesce(text, F.lit(""))
-    trimmed = F.btrim(text, F.lit(SPACES))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
-    count = lambda items, test: F.size(F.filter(items, test)).cast("long")
-
-    of_words = once(
-        words,
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            count(w, lambda word: F.lower(word).isin(*stop_words)).alias("n_stop_words"),
-            count(w, lambda word: word.rlike(r"\p{L}")).alias("n_letter_words"),
-            repeated_words(w).cast("long").alias("n_repeat_words"),
-        ),
+def words_inside(windows: Column) -> Column:
+    """Words that lie in a window whose hash occurs twice or more."""
+    by_hash = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    alike = lambda row, other: F.coalesce(row["h"] == other["h"], F.lit(False))
+    found = once(
+        by_hash,
+        lambda rows: F.filter(rows, lambda row, k: alike(row, F.get(rows, k - 1)) | alike(row, F.get(rows, k + 1))),
     )
-    of_lines = once(
-        lines,
-        lambda rows: F.struct(
-            F.size(rows).cast("long").alias("n_lines"),
-            (F.size(rows) - F.size(F.array_distinct(rows))).cast("long").alias("n_dup_lines"),
-            count(rows, lambda line: line.rlike("(…|[.]{3})[\\x20\\x09-\\x0D]*$")).alias("n_ellipsis_lines"),
-            count(rows, lambda line: line.rlike("^[\\x20\\x09]*[-•*‣◦]\\x20")).alias("n_bullet_lines"),
-        ),
+    return F.aggregate(
+        F.array_sort(F.transform(found, lambda row: row["i"])),
+        F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
+        lambda seen, i: F.struct(i.alias("last"), (seen["n"] + F.least(F.lit(WINDOW), i - seen["last"])).alias("n")),
+        lambda seen: seen["n"],
+    )
+
+
+def measure(docs: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
+    """Adds all measures. Arrays that several measures need are columns of their own, so that each is made once and
+    the measures are compiled code."""
+    count = lambda items, test: F.size(F.filter(items, test))
+    words, lines, windows, body = F.col("__words"), F.col("__lines"), F.col("__windows"), F.col("__body")
+    docs = (
+        docs.withColumn("__body", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+        .withColumn("__trimmed", F.btrim(body, F.lit(SPACES)))
+        .withColumn(
+            "__words",
+            F.when(F.col("__trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("__trimmed", SPACE)),
+        )
+        .withColumn("__lines", F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != ""))
+        .withColumn("__windows", F.when(F.size(words) >= WINDOW, window_hashes(words)))
     )
-    return F.struct(
-        of_words.alias("of_words"),
-        of_lines.alias("of_lines"),
-        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+    found = {
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": F.length(body) - F.length(F.regexp_replace(body, "[#*$%&|<>]", "")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_ellipsis_lines": count(lines, lambda line: line.rlike("(…|[.]{3})[\\x20\\x09-\\x0D]*$")),
+        "n_bullet_lines": count(lines, lambda line: line.rlike("^[\\x20\\x09]*[-•*‣◦]\\x20")),
+        "n_stop_words": count(words, lambda word: F.lower(word).isin(*stop_words)),
+        "n_repeat_words": F.when(windows.isNull(), 0)
+        .when(F.size(F.array_distinct(windows)) == F.size(windows), 0)
+        .otherwise(words_inside(windows)),
+    }
+    return docs.withColumns({name: found[name].cast("long") for name in MEASURES}).drop(
+        "__body", "__trimmed", "__words", "__lines", "__windows"
     )
 
 
@@ -153,12 +145,7 @@ def score_quality(
     """Adds the measures, `broken_rules` (comma-joined names), `base_failed` and `kept` to each row."""
     stop_words = sorted(stop_words or {w for words in STOP_WORDS.values() for w in words.split()})
     results = [*MEASURES, "broken_rules", "base_failed", "kept"]
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in results]
-    measured = docs.withColumn("__m", measures(F.col(f"`{text}`"), stop_words))
-    fields = {name: F.col(f"__m.{name}") for name in ("word_chars", "n_symbols")}
-    fields |= {n: F.col(f"__m.of_words.{n}") for n in ("n_words", "n_stop_words", "n_letter_words", "n_repeat_words")}
-    fields |= {n: F.col(f"__m.of_lines.{n}") for n in ("n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines")}
-    flat = measured.select(*others, *[fields[n].alias(n) for n in MEASURES])
+    flat = measure(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results]), text, stop_words)
     failed = F.concat_ws(",", *[F.when(broken(rule), F.lit(rule.name)) for rule in (*base, *rules)])
     base_failed = F.lit(False)
     for rule in base:

@@ -5,14 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, token_counts
+from . import bpe, quality, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document as a digest, and a digest of the bytes they decode to."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    decoded = bpe.decode(bpe.encode(docs, keep_text=False))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of every document."""
     scored = quality.score_quality(table(spark, folder, "documents").select("doc_id", "text"))
@@ -26,6 +39,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
     }
