@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, token_counts
+from . import bpe, quality, token_counts, wavelet
+from .shared import shared_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_wavelet_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Writes the ids of all documents into wavelet-matrix files and reads them back document by document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    shards = shared_folder(spark, "wavelet")
+    files = wavelet.write_shards(docs, shards)
+    read = wavelet.read_documents(spark, shards)
+    return read.join(files.select("shard", "base"), "shard").select(
+        "doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document as a digest, and a digest of the bytes they decode to."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -39,6 +51,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_wavelet_matrix": op4_wavelet_matrix,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
