@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, token_counts, wavelet
+from . import bpe, quality, secret_scan, token_counts, wavelet
 from .shared import shared_folder
 
 
@@ -49,10 +49,17 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, in the text as it is and in what it holds encoded."""
+    found = secret_scan.find_secrets(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_wavelet_matrix": op4_wavelet_matrix,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
+        "op10_secret_scan": op10_secret_scan,
     }
