@@ -45,5 +45,24 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, br
 """
 
 
+OP1 = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), shown AS (
+    SELECT *, length(text) + length(role)
+        + len(regexp_extract_all(text, '[<\[]\\*(s>|/s>|INST\]|/INST\]|\|)'))
+        + len(regexp_extract_all(role, '[<\[]\\*(s>|/s>|INST\]|/INST\]|\|)')) + 20 AS n
+    FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+    CAST(sum(n) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_tokens_attached
+FROM shown GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8}
+    return {"op1_chat_format": OP1, "op8_quality_rules": OP8}

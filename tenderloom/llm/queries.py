@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secret_scan, token_counts, wavelet
+from . import bpe, chat, quality, secret_scan, token_counts, wavelet
 from .shared import shared_folder
 
 
@@ -15,6 +15,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Formats all conversations, and one whose texts are control strings, and reads the strings back."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.format_chats(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    back = made.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn(
+        "loss", chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "n_tokens_attached",
+    )
+
+
 def op4_wavelet_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Writes the ids of all documents into wavelet-matrix files and reads them back document by document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -57,6 +83,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op4_wavelet_matrix": op4_wavelet_matrix,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
