@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, secret_scan, token_counts, wavelet
+from . import bpe, chat, quality, secret_scan, token_counts, toxicity, wavelet
 from .shared import shared_folder
 
 
@@ -41,6 +41,15 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from documents outside the held-out third."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.where(~held_out), labels.where(~held_out))
+    return toxicity.score(docs.withColumn("held_out", held_out), model)
+
+
 def op4_wavelet_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Writes the ids of all documents into wavelet-matrix files and reads them back document by document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -84,6 +93,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_toxicity": op2_toxicity,
         "op4_wavelet_matrix": op4_wavelet_matrix,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
