@@ -19,18 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import list_array, slices, text_bytes
+from .arrow_text import list_array, slices
 from .components import components
 from .shared import written
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
+from .word_hashes import MIX, STEP, SPACES, mixed, word_hashes
 
 def choose_bands(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
     """Bands and rows: the most rows a band can have so that pairs at the threshold are found with `recall`, within
@@ -45,38 +40,9 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 128) -> tup
     return best
 
 
-def _mixed(values: np.ndarray) -> np.ndarray:
-    values = values ^ (values >> np.uint64(31))
-    values *= _MIX
-    values ^= values >> np.uint64(29)
-    values *= _STEP
-    return values ^ (values >> np.uint64(32))
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of all texts, and where the words of each text begin (one more than texts)."""
-    raw, edges = text_bytes(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    if not len(raw):
-        return np.empty(0, np.uint64), np.zeros(len(edges), np.int64)
-    space = _SPACE[raw]
-    first = ~space
-    first[1:] &= space[:-1]
-    first[edges[:-1][np.diff(edges) > 0]] |= ~space[edges[:-1][np.diff(edges) > 0]]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.empty(0, np.uint64), np.zeros(len(edges), np.int64)
-    word = np.cumsum(first) - 1
-    inside = np.flatnonzero(~space)
-    at = inside - starts[word[inside]]
-    powers = np.cumprod(np.full(int(at.max()) + 1, _STEP), dtype=np.uint64)
-    begins = np.concatenate([[0], np.flatnonzero(np.diff(word[inside])) + 1])
-    sums = np.add.reduceat((raw[inside].astype(np.uint64) + np.uint64(1)) * powers[at], begins)
-    return _mixed(sums), np.searchsorted(starts, edges)
-
-
 def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of all texts, repeats included, and where those of each text begin."""
-    words, edges = word_hashes(texts)
+    words, edges = word_hashes(texts, SPACES)
     count = np.diff(edges)
     many = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
     out = np.concatenate([[0], np.cumsum(many)])
@@ -88,12 +54,12 @@ def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     total = span.astype(np.uint64)
     padded = np.concatenate([words, np.zeros(size, np.uint64)])
     for k in range(size):
-        total = total * _STEP + np.where(k < span, padded[begin + k], np.uint64(0))
-    return _mixed(total), out
+        total = total * STEP + np.where(k < span, padded[begin + k], np.uint64(0))
+    return mixed(total), out
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
-    values = _mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * _STEP)
+    values = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * STEP)
     return values[:n], values[n:] | np.uint64(1)
 
 
@@ -107,7 +73,7 @@ def signatures(docs: DataFrame, text: str, size: int, bands: int, rows: int) ->
                 shingles, edges = shingle_hashes(part.column(1), size)
                 n = part.num_rows
                 keys, distinct = np.zeros((2, n), np.uint64), np.zeros(n, np.int64)
-                one, two = _mixed(shingles), _mixed(shingles ^ _STEP)
+                one, two = mixed(shingles), mixed(shingles ^ STEP)
                 for k in np.flatnonzero(np.diff(edges)):
                     a, b = edges[k], edges[k + 1]
                     _, first = np.unique(shingles[a:b], return_index=True)
@@ -120,8 +86,8 @@ def signatures(docs: DataFrame, text: str, size: int, bands: int, rows: int) ->
                     np.bitwise_xor(shingles, flip[k], out=values)
                     np.multiply(values, factor[k], out=values)
                     band = found[full, k // rows]
-                    found[full, k // rows] = band * _STEP + np.minimum.reduceat(values, edges[full])
-                found = _mixed(found + np.arange(bands, dtype=np.uint64) * _MIX).view(np.int64)
+                    found[full, k // rows] = band * STEP + np.minimum.reduceat(values, edges[full])
+                found = mixed(found + np.arange(bands, dtype=np.uint64) * MIX).view(np.int64)
                 lists = list_array(found.ravel(), np.arange(n + 1) * bands, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(k.view(np.int64)) for k in keys), pa.array(distinct), lists],

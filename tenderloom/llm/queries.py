@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, quality, secret_scan, token_counts, toxicity, wavelet
+from . import bpe, chat, decontaminate, jaccard, quality, secret_scan, token_counts, toxicity, wavelet
 from .shared import shared_folder
 
 
@@ -61,6 +61,12 @@ def op4_wavelet_matrix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold test items, exact or edited, with the alignment score."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, folder, "benchmark"))
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near duplicates of every document, and its number of links."""
     return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
@@ -100,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": op1_chat_format,
         "op2_toxicity": op2_toxicity,
         "op4_wavelet_matrix": op4_wavelet_matrix,
+        "op5_decontaminate": op5_decontaminate,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
