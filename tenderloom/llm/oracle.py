@@ -64,5 +64,46 @@ FROM shown GROUP BY conv_id
 """
 
 
+OP3 = r"""
+WITH visits AS (
+    SELECT page_id, k, md5(coalesce(html, '')) AS digest, length(html) AS n,
+        regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest,
+        1704067200 + page_id * 7919 % 31536000 AS begin,
+        begin + CASE k WHEN 3 THEN -86400 ELSE k * 86400 END AS time
+    FROM pages, range(4) AS r(k)
+), split_up AS (
+    SELECT *, page_id * 4 + k AS record_id,
+        regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www[0-9]*[.]', ''), ':(80|443)$', '')
+            || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+        list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+            lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid)='))) AS asked,
+        k = 2 AND page_id % 4 = 0 AS other,
+        CASE WHEN page_id % 7 <> 3 THEN '"' || CASE WHEN k = 2 AND page_id % 4 = 0 THEN 'other' ELSE digest END || '"' END AS tag,
+        CASE WHEN page_id % 5 <> 2 THEN begin - 3600 + CASE WHEN k = 2 AND page_id % 4 = 0 THEN 1 ELSE 0 END END AS changed
+    FROM visits
+), keyed AS (
+    SELECT *, place || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END AS canonical_url
+    FROM split_up
+), joined AS (
+    SELECT v.record_id, v.canonical_url, v.time, v.tag, v.changed, r.record_id AS target_id, r.time AS target_time, r.tag AS tag0,
+        r.changed AS changed0, r.digest AS digest0, r.n
+    FROM keyed v LEFT JOIN keyed r ON r.k = 0 AND r.canonical_url = v.canonical_url AND r.time < v.time
+    WHERE v.k > 0
+    QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY r.time DESC NULLS LAST, r.record_id DESC) = 1
+), judged AS (
+    SELECT *, CASE WHEN target_id IS NULL THEN 'orphan'
+        WHEN tag IS NOT NULL AND tag0 IS NOT NULL THEN CASE WHEN tag = tag0 THEN 'resolved' ELSE 'mismatch' END
+        WHEN changed IS NOT NULL AND changed0 IS NOT NULL THEN CASE WHEN changed = changed0 THEN 'resolved' ELSE 'mismatch' END
+        ELSE 'unverified' END AS status
+    FROM joined
+)
+SELECT record_id, canonical_url, time, status, target_id, target_time,
+    CASE WHEN status = 'resolved' THEN digest0 END AS digest,
+    CASE WHEN status = 'resolved' THEN 'cache-control: max-age=120; content-length: ' || coalesce(n, 0)
+        || '; content-type: text/html; date: ' || time END AS headers
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1, "op8_quality_rules": OP8}
+    return {"op3_warc_revisits": OP3, "op1_chat_format": OP1, "op8_quality_rules": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, quality, secret_scan, token_counts, toxicity, wavelet
+from . import bpe, chat, decontaminate, jaccard, quality, revisits, secret_scan, token_counts, toxicity, wavelet
 from .shared import shared_folder
 
 
@@ -50,6 +50,43 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held_out), model)
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """A crawl of the pages as archive records: each page is fetched once in full and asked for again three times, once
+    before that; some answers lack validators and some contradict the response."""
+    begin = F.lit(1704067200) + F.col("page_id") * 7919 % 31536000
+    header = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+    digest = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+    etag = F.when(F.col("page_id") % 7 != 3, F.concat(F.lit('"'), "digest", F.lit('"')))
+    page = pages.select("page_id", "url", digest.alias("digest"), F.length("html").alias("n"), begin.alias("begin"))
+    page = page.withColumn("etag", etag).withColumn("changed", F.when(F.col("page_id") % 5 != 2, F.col("begin") - 3600))
+    visit = page.withColumn("visit", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    kth = F.col("visit")
+    time = F.col("begin") + F.when(kth == 3, -86400).otherwise(kth * 86400)
+    weak = F.when((kth == 1) & (F.col("page_id") % 3 == 0), F.concat(F.lit("W/"), "etag")).otherwise(F.col("etag"))
+    other = (kth == 2) & (F.col("page_id") % 4 == 0)
+    full = F.array(header("Content-Type", F.lit("text/html")), header("Content-Length", F.col("n")),
+                   header("Date", time), header("Cache-Control", F.lit("max-age=60")))
+    not_modified = F.array(header("Date", time), header("cache-control", F.lit("max-age=120")),
+                           header("Content-Length", F.lit(0)), header("Server", F.lit("edge")))
+    return visit.select(
+        (F.col("page_id") * 4 + kth).alias("record_id"),
+        "url",
+        time.alias("time"),
+        F.when(kth == 0, "response").otherwise("revisit").alias("kind"),
+        F.when(other & F.col("etag").isNotNull(), F.lit('"other"')).otherwise(weak).alias("etag"),
+        F.when(other, F.col("changed") + 1).otherwise(F.col("changed")).alias("last_modified"),
+        F.when(kth == 0, full).otherwise(not_modified).alias("headers"),
+        F.when(kth == 0, F.col("digest")).alias("digest"),
+    )
+
+
+def op3_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every not-modified answer of a crawl of all pages, resolved."""
+    found = revisits.resolve_revisits(captures(table(spark, folder, "pages")))
+    shown = F.transform("headers", lambda h: F.concat(F.lower(h["name"]), F.lit(": "), h["value"]))
+    return found.withColumn("headers", F.array_join(F.array_sort(shown), "; "))
+
+
 def op4_wavelet_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Writes the ids of all documents into wavelet-matrix files and reads them back document by document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -105,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_toxicity": op2_toxicity,
+        "op3_warc_revisits": op3_warc_revisits,
         "op4_wavelet_matrix": op4_wavelet_matrix,
         "op5_decontaminate": op5_decontaminate,
         "op6_jaccard_join": op6_jaccard_join,
