@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -175,6 +176,31 @@ def _blocks(items: list[Row], most: int) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def _indexes(
+    rows: DataFrame, items: DataFrame, size: int, bits: float, least_seeds: int, block_chars: int
+) -> Iterator[Broadcast]:
+    """The seed index of each block of items, by the word frequencies of all texts."""
+    listed = items.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text")
+    for block in _blocks(listed.toLocalIterator(), block_chars):
+        vocabulary = Vocabulary([text for _, text in block])
+        counts, total = word_counts(rows, vocabulary)
+        made = SeedIndex([item for item, _ in block], vocabulary, counts, total, size, bits, least_seeds)
+        yield rows.sparkSession.sparkContext.broadcast(made)
+
+
+def _leaks(texts: pa.Array, seeds: SeedIndex, threshold: float) -> Iterator[tuple[int, list[tuple[int, float, int]]]]:
+    """The texts that hold items, by their number, and what they hold."""
+    words, edges = seeds.vocabulary.numbers(texts)
+    owner, place, at = seeds.find(words, edges)
+    text = np.searchsorted(edges, at, "right") - 1
+    for k in np.unique(text):
+        mine = text == k
+        hits = owner[mine], place[mine], at[mine] - edges[k]
+        found = matches(words[edges[k] : edges[k + 1]], *hits, seeds, threshold)
+        if found:
+            yield int(k), found
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -187,40 +213,49 @@ def find_leaks(
 ) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, score (up to 1), and the word of the text at
     which the alignment ends. `docs` has doc_id; `items` has item_id and text."""
-    listed = items.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text")
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
-    found = None
-    for block in _blocks(listed.toLocalIterator(), block_chars):
-        part = _scan(rows, block, size, bits, least_seeds, threshold)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
+    schema = "doc_id long, item_id long, score double, end_word long"
+    found = rows.sparkSession.createDataFrame([], schema)
+    for index in _indexes(rows, items, size, bits, least_seeds, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    leaks = _leaks(part.column(1), index.value, threshold)
+                    out = [(part.column(0)[k].as_py(), *one) for k, held in leaks for one in held]
+                    columns = list(zip(*out)) if out else [()] * 4
+                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score", "end_word"]
+                    )
+
+        found = found.unionByName(rows.mapInArrow(run, schema))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word")).alias("best"))
     return best.select("doc_id", "item_id", "best.score", "best.end_word")
 
 
-def _scan(rows: DataFrame, block: list[tuple[int, str]], size: int, bits: float, least_seeds: int, threshold: float) -> DataFrame:
-    vocabulary = Vocabulary([text for _, text in block])
-    counts, total = word_counts(rows, vocabulary)
-    made = SeedIndex([item for item, _ in block], vocabulary, counts, total, size, bits, least_seeds)
-    index = rows.sparkSession.sparkContext.broadcast(made)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = index.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words, edges = seeds.vocabulary.numbers(part.column(1))
-                owner, place, at = seeds.find(words, edges)
-                text, out = np.searchsorted(edges, at, "right") - 1, []
-                for k in np.unique(text):
-                    mine = text == k
-                    hits = owner[mine], place[mine], at[mine] - edges[k]
-                    found = matches(words[edges[k] : edges[k + 1]], *hits, seeds, threshold)
-                    out += [(part.column(0)[int(k)].as_py(), *one) for one in found]
-                columns = list(zip(*out)) if out else [()] * 4
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score", "end_word"]
-                )
-
-    return rows.mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
+def drop_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    size: int = 3,
+    bits: float = 24.0,
+    least_seeds: int = 8,
+    threshold: float = 0.5,
+    block_chars: int = 16 << 20,
+) -> DataFrame:
+    """The rows whose texts hold no item, as they are; rows are judged where they are read, without a shuffle."""
+    kept = docs
+    texts = docs.select(F.lit(0).alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    where = docs.columns.index(text)
+    for index in _indexes(texts, items, size, bits, least_seeds, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, text):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[k for k, _ in _leaks(part.column(where), index.value, threshold)]] = False
+                    yield part.filter(pa.array(clean))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept

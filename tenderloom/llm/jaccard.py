@@ -268,8 +268,14 @@ def near_duplicates(
     return found.select("doc_id", "class_id", "n_links", "n_set_links")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of one document of each class, the one with the least id; rows without an id stay."""
-    classes = near_duplicates(docs, **options)
+def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """One row of each class, that of its least id (with several texts for that id, of the least text). Rows without
+    an id all stay. The columns are those of `docs`."""
+    classes = near_duplicates(docs, text, **options)
     kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    body = F.col(f"`{text}`")
+    # Reduced before the shuffle, so that repeated rows of one id do not meet in one task.
+    one = F.min_by(F.struct(*others), F.struct(F.coalesce(body, F.lit("")), body.isNull())).alias("row")
+    rows = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(one).join(kept, "doc_id", "left_semi")
+    return rows.select("doc_id", "row.*").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
