@@ -32,7 +32,8 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 128) -> tup
     `most_hashes`. More rows mean fewer false candidates."""
     best = None
     for rows in range(1, most_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        found = math.log1p(-(threshold**rows))
+        bands = math.ceil(math.log(1 - recall) / found) if found else most_hashes + 1
         if bands * rows <= most_hashes:
             best = (bands, rows)
     if best is None:

@@ -221,7 +221,6 @@ def write_shards(
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pa.fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
         code, task, made = encoder(vocabulary), TaskContext.get(), 0
         keys, ids, counts, held = [], [], [], 0
 
@@ -250,6 +249,8 @@ def write_shards(
         if keys:
             yield close()
 
+    store, root = pa.fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)  # there without documents too
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
     files = written(ordered.mapInArrow(build, "shard string, n_docs long, n_tokens long"), "shards")
