@@ -102,3 +102,20 @@ def extraction_scorecard(truth: DataFrame, extractions: DataFrame) -> DataFrame:
 
     rows = [row(field, (field,)) for field in GRADED_FIELDS] + [row("overall", GRADED_FIELDS)]
     return counted.select(F.inline(F.array(*rows)))
+
+
+def readable_extractions(gradable: DataFrame, documents: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Extractions of the tenders whose document (`document_uri`) has landed and is a PDF file.
+
+    `documents` has uri and is_pdf. What was read from anything else is not counted as read.
+    """
+    landed = documents.where("is_pdf").select(F.col("uri").alias("document_uri")).distinct()
+    readable = gradable.join(landed, "document_uri").select("tender_id").distinct()
+    return extractions.join(readable, "tender_id", "left_semi")
+
+
+def feed_evaluation(gradable: DataFrame, documents: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Scorecard over gradable tenders. Scoring starts from the tenders, so one whose document is absent,
+    empty or no PDF misses all its fields."""
+    truth = gradable.select("tender_id", F.col("estimated_value").alias("budget"), "cpv_primary", "deadline")
+    return extraction_scorecard(truth, readable_extractions(gradable, documents, extractions))

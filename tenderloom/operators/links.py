@@ -62,11 +62,13 @@ def relink(links: DataFrame, notices: DataFrame, touched: DataFrame) -> DataFram
     """`links` with the procedures in `touched` worked out again from `notices`.
 
     `touched` must also list the former procedure of a notice that moved to another one. A
-    procedure that has lost its tender drops out.
+    procedure that has lost its tender drops out. Notices are reduced to a row for each procedure
+    before they meet `touched`, so one with a large share of them is combined before the shuffle. (An inner
+    join with distinct keys: a semi join would be moved below the reduction.)
     """
     procedures = touched.select("procedure_id").where(F.col("procedure_id").isNotNull()).distinct()
     kept = links.join(procedures, "procedure_id", "left_anti")
-    redone = link_procedures(notices.join(procedures, "procedure_id", "left_semi"))
+    redone = link_procedures(notices).join(procedures, "procedure_id")
     return kept.select(*PROCEDURE_LINKS.names).unionByName(redone)
 
 
@@ -105,13 +107,12 @@ def award_procedures(notices: DataFrame) -> DataFrame:
     return linkable(notices, AWARD).select("procedure_id").distinct()
 
 
-def backfill_worklist(notices: DataFrame, max_procedures: int | None = None) -> DataFrame:
+def backfill_worklist(notices: DataFrame) -> DataFrame:
     """Procedures with an award but no tender yet, from one aggregation instead of an anti join."""
-    missing = (
+    return (
         notices.where(F.col("procedure_id").isNotNull() & F.col("kind").isin(TENDER, AWARD))
         .groupBy("procedure_id")
         .agg(F.bool_or(F.col("kind") == TENDER).alias("has_tender"))
         .where(~F.col("has_tender"))
         .select("procedure_id")
     )
-    return missing if max_procedures is None else missing.orderBy("procedure_id").limit(max_procedures)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.operators.links import link_outcomes, median_lag
-from tenderloom.schemas import AWARD, NOTICE_KINDS, TENDER
+from tenderloom.schemas import AWARD, NOTICE_KINDS, RESOLVED_OUTCOMES, TENDER, UNKNOWN
 
 
 def ingest_watermarks(notices: DataFrame) -> DataFrame:
@@ -44,24 +43,37 @@ def eforms_coverage(notices: DataFrame) -> DataFrame:
     return counted.select(F.inline(rows))
 
 
-def ingest_counts(batch: DataFrame) -> DataFrame:
-    """Rows submitted per kind; repeats of a notice count each time."""
-    return batch.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+def _report(measure: str, label: Column, value: Column) -> Column:
+    return F.struct(F.lit(measure).alias("measure"), label.alias("label"), value.cast("double").alias("value"))
+
+
+def ingest_counts(batch: DataFrame, kinds: tuple[str, ...] = (AWARD, TENDER)) -> DataFrame:
+    """Rows submitted per ingested kind, 0 for one without rows; repeats of a notice count each time."""
+    counted = batch.agg(*[F.count_if(F.col("kind") == kind).alias(kind) for kind in kinds])
+    return counted.select(
+        F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("n")) for kind in kinds]))
+    )
 
 
 def dataset_report(batch: DataFrame, links: DataFrame) -> DataFrame:
-    """What an ingest run did: rows per kind, links, links per outcome, median lag."""
+    """What an ingest run did: rows per kind, links, links per outcome, median lag.
+
+    The links are read once: everything about them follows from their number per outcome and lag.
+    """
     ingested = ingest_counts(batch).select(
         F.lit("ingested").alias("measure"), F.col("kind").alias("label"), F.col("n").cast("double").alias("value")
     )
-    outcomes = link_outcomes(links)
-    linked = outcomes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("value")).select(
-        F.lit("linked").alias("measure"), F.lit("all").alias("label"), "value"
-    )
-    by_outcome = outcomes.select(
-        F.lit("outcome").alias("measure"), F.col("outcome").alias("label"), F.col("n").cast("double").alias("value")
-    )
-    lag = median_lag(links).select(
-        F.lit("median_lag_days").alias("measure"), F.lit("all").alias("label"), F.col("median_lag_days").alias("value")
+    histogram = links.groupBy("outcome", "lag_days").agg(F.count(F.lit(1)).alias("n"))
+    outcomes = (*RESOLVED_OUTCOMES, UNKNOWN)
+    totals = histogram.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("linked"),
+        *[F.sum(F.when(F.col("outcome") == outcome, F.col("n"))).alias(outcome) for outcome in outcomes],
+        F.percentile(F.col("lag_days"), F.lit(0.5), F.when(F.col("lag_days").isNull(), 0).otherwise(F.col("n"))).alias("lag"),
     )
-    return ingested.unionByName(linked).unionByName(by_outcome).unionByName(lag)
+    rows = [
+        _report("linked", F.lit("all"), F.col("linked")),
+        *[_report("outcome", F.lit(outcome), F.col(outcome)) for outcome in outcomes],
+        _report("median_lag_days", F.lit("all"), F.col("lag")),
+    ]
+    listed = totals.select(F.inline(F.array(*rows)))
+    return ingested.unionByName(listed.where("measure <> 'outcome' OR value IS NOT NULL"))

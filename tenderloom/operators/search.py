@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.operators.tenders import legal_documents
+from tenderloom.operators.tenders import legal_documents, notice_key
 from tenderloom.schemas import AWARD
 
 
@@ -40,7 +40,8 @@ def search_tenders(
 ) -> DataFrame:
     """Largest budgets first, unknown budgets last; bounds include their value.
 
-    A tender without a budget meets no bound. Zero is a bound like any other.
+    A tender without a budget meets no bound. Zero is a bound like any other. Tenders after the first
+    `limit` are left out.
     """
     found = tenders.where(in_family(cpv_prefix))
     if max_budget is not None:
@@ -62,7 +63,7 @@ def get_tender(tenders: DataFrame, tender_id: str) -> DataFrame:
 
 def get_tenders(tenders: DataFrame, wanted: DataFrame) -> DataFrame:
     """Details of the tenders listed in `wanted.tender_id`."""
-    keys = wanted.select(F.col("tender_id").alias("entry_id"))
+    keys = wanted.select(F.col("tender_id").alias("entry_id")).distinct()
     return tender_details(tenders.join(keys, "entry_id", "left_semi"))
 
 
@@ -78,27 +79,26 @@ def document_coverage(tenders: DataFrame) -> DataFrame:
     )
 
 
-def gradable_tenders(tenders: DataFrame, max_docs: int | None = None) -> DataFrame:
+def gradable_tenders(tenders: DataFrame) -> DataFrame:
     """Tenders with a published value to grade against and a legal document to read it from.
 
-    The first legal document is the one to read.
+    The first legal document is the one to read. The key is the one tenders have as notices.
     """
     first_legal = F.get(legal_documents(F.col("documents")), F.lit(0))
     has_truth = F.coalesce(
         F.col("budget").cast("string"), F.col("cpv_primary"), F.col("deadline").cast("string")
     ).isNotNull()
-    chosen = tenders.where(has_truth & first_legal.isNotNull()).select(
-        F.col("entry_id").alias("tender_id"),
+    return tenders.where(has_truth & first_legal.isNotNull()).select(
+        notice_key().alias("tender_id"),
         first_legal["uri"].alias("document_uri"),
         F.col("budget").alias("estimated_value"),
         "cpv_primary",
         "deadline",
     )
-    return chosen if max_docs is None else chosen.orderBy("tender_id").limit(max_docs)
 
 
 def past_awards(notices: DataFrame, cpv_prefix: str, limit: int = 10) -> DataFrame:
-    """The largest awards of a product family, those without a stated value last."""
+    """The `limit` largest awards of a product family, those without a stated value last."""
     return (
         notices.where((F.col("kind") == AWARD) & F.col("cpv_primary").startswith(cpv_prefix))
         .orderBy(F.desc_nulls_last("result_value"), "publication_number")

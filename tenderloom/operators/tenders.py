@@ -50,7 +50,16 @@ def parse_entries(entries: DataFrame) -> DataFrame:
         F.coalesce(status["ProcurementProject"], no_projects),
         F.coalesce(_all_below(status["ProcurementProjectLot"], "ProcurementProject"), no_projects),
     )
-    deadline_periods = _all_below(status["TenderingProcess"], "TenderSubmissionDeadlinePeriod")
+    no_periods = F.array().cast(
+        entries.schema["ContractFolderStatus"].dataType["TenderingProcess"].dataType.elementType[
+            "TenderSubmissionDeadlinePeriod"
+        ].dataType
+    )
+    lot_processes = _all_below(status["ProcurementProjectLot"], "TenderingProcess")
+    deadline_periods = F.concat(
+        F.coalesce(_all_below(status["TenderingProcess"], "TenderSubmissionDeadlinePeriod"), no_periods),
+        F.coalesce(_all_below(lot_processes, "TenderSubmissionDeadlinePeriod"), no_periods),
+    )
     scoped = entries.select(
         *carried,
         "id",
@@ -96,14 +105,17 @@ def zip_documents(kinds: Column, names: Column, uris: Column) -> Column:
     return F.coalesce(documents, F.array().cast(TENDERS["documents"].dataType))
 
 
+def notice_key() -> Column:
+    """What a tender is called among notices: its id, else its file number."""
+    return F.coalesce(empty_to_null(F.col("entry_id")), empty_to_null(F.col("expediente")), F.lit("unknown"))
+
+
 def as_notices(tenders: DataFrame) -> DataFrame:
     """Tenders with the columns of `notices`, so both can be searched and graded together."""
     no_texts = F.array().cast("array<string>")
     has_code = F.length("cpv_primary") > 0
     shaped = tenders.select(
-        F.coalesce(
-            empty_to_null(F.col("entry_id")), empty_to_null(F.col("expediente")), F.lit("unknown")
-        ).alias("publication_number"),
+        notice_key().alias("publication_number"),
         F.lit(NOTICE_TYPE_OF_KIND[TENDER]).alias("notice_type"),
         F.lit(TENDER).alias("kind"),
         F.lit(None).cast("string").alias("procedure_id"),

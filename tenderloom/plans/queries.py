@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions.outcomes import notice_kind
 from tenderloom.operators import backtest, cost, eligibility, grading, links, monitoring, search, tenders, upsert
-from tenderloom.operators.normalize import normalize_notices, require_keyed
+from tenderloom.operators.normalize import normalize_notices, require_keyed, split_unkeyed
+from tenderloom.plans.dataset import select_window
 from tenderloom.session import shared_folder
 from tenderloom.sources import documents, notice_pages, sample, tender_feed
 
@@ -87,10 +88,11 @@ def _flat_notices(notices: DataFrame) -> DataFrame:
         "deadline",
         F.round("estimated_value", 2).alias("estimated_value"),
         _joined("winner_names").alias("winner_names"),
-        _joined(F.array_sort("winner_selection_status")).alias("winner_selection_status"),
+        _joined("winner_selection_status").alias("winner_selection_status"),
         "award_outcome",
-        F.size("tender_values").cast("bigint").alias("n_tender_values"),
-        F.round(F.array_max("tender_values"), 2).alias("top_tender_value"),
+        _joined(F.transform("tender_values", lambda value: F.round(value * 100).cast("bigint").cast("string"))).alias(
+            "tender_values_in_cents"
+        ),
         F.round("result_value", 2).alias("result_value"),
     )
 
@@ -101,9 +103,21 @@ def _normalized(spark: SparkSession, folder: str) -> DataFrame:
     return _flat_notices(require_keyed(normalize_notices(hits)))
 
 
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def _landed(spark: SparkSession, folder: str, purpose: str, write: Callable[[str], None]) -> str:
+    """Where the sample pages of a folder have been landed; a session lands them once."""
+    key = (spark.sparkContext.applicationId, folder, purpose)
+    if key not in _LANDED:
+        path = shared_folder(spark, purpose)
+        write(path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
 def _scanned_pages(spark: SparkSession, folder: str) -> DataFrame:
-    path = shared_folder(spark, "notice-pages")
-    sample.notice_pages(spark, folder).write.text(path)
+    path = _landed(spark, folder, "notice-pages", sample.notice_pages(spark, folder).write.text)
     hits = notice_pages.scan_pages(spark, path, page_per_line=True)
     return _flat_notices(require_keyed(normalize_notices(hits.select("notice"))))
 
@@ -127,15 +141,16 @@ def _parsed_from_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scanned_entries(spark: SparkSession, folder: str) -> DataFrame:
-    path = shared_folder(spark, "feed-pages")
-    sample.feed_pages(spark, folder).write.option("maxRecordsPerFile", 1).text(path)
+    pages = sample.feed_pages(spark, folder).write.option("maxRecordsPerFile", 1)
+    path = _landed(spark, folder, "feed-pages", pages.text)
     return _flat_tenders(tenders.parse_entries(tender_feed.scan_entries(spark, path)).drop("landed"))
 
 
 def _feed_scorecard(spark: SparkSession, folder: str) -> DataFrame:
-    """Extraction scored against the feed itself, from entry text to accuracy."""
-    truth = grading.truth_fields(tenders.as_notices(_parsed_from_text(spark, folder)))
-    return _rounded(grading.extraction_scorecard(truth, sample.extractions(spark, folder)), "accuracy")
+    """Extraction scored against the feed itself, from entry text and landed documents to accuracy."""
+    landed = sample.landed_documents(spark, folder).select("uri", documents.is_pdf(F.col("content")).alias("is_pdf"))
+    gradable = search.gradable_tenders(_parsed_from_text(spark, folder))
+    return _rounded(grading.feed_evaluation(gradable, landed, sample.extractions(spark, folder)), "accuracy")
 
 
 # --- decisions and scores ------------------------------------------------------------------
@@ -210,6 +225,16 @@ def _window(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """How many hits of a window are taken in, and how many without a number are set aside."""
+    kept, aside = split_unkeyed(select_window(sample.unnumbered_hits(spark, folder), *WINDOW))
+    counted = [
+        rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("state"), "n")
+        for label, rows in (("kept", kept), ("set_aside", aside))
+    ]
+    return counted[0].unionByName(counted[1])
+
+
 def _search(spark: SparkSession, folder: str) -> DataFrame:
     return search.search_tenders(
         sample.tenders(spark, folder), SEARCH_FAMILY, max_budget=HIGHEST_BUDGET, min_budget=LOWEST_BUDGET
@@ -221,8 +246,8 @@ def _details(found: DataFrame) -> DataFrame:
 
 
 def _delivered(spark: SparkSession, folder: str) -> DataFrame:
-    """Details of the tenders that anyone has bid on in quantity."""
-    wanted = sample.table(spark, folder, "lineitem").where(F.col("l_quantity") >= 50)
+    """Details of the tenders that anyone has bid on."""
+    wanted = sample.table(spark, folder, "lineitem")
     keys = wanted.select(F.concat(F.lit("PT-"), F.col("l_partkey").cast("string")).alias("tender_id"))
     return _details(search.get_tenders(sample.tenders(spark, folder), keys))
 
@@ -313,6 +338,7 @@ def queries() -> dict[str, Query]:
         "relink_procedures": _relinked,
         **from_notices,
         "ingest_window": _window,
+        "ingest_quarantine": _quarantine,
         **from_tenders,
         **decisions,
         **scores,

@@ -142,6 +142,10 @@ _PROJECT = _struct(
     ("RequiredCommodityClassification", _COMMODITIES),
 )
 
+_PROCESSES = T.ArrayType(
+    _struct(("TenderSubmissionDeadlinePeriod", T.ArrayType(_struct(("EndDate", _TEXTS)))))
+)
+
 FEED_ENTRY = _struct(
     ("id", _TEXTS),
     (
@@ -149,11 +153,11 @@ FEED_ENTRY = _struct(
         _struct(
             ("ContractFolderID", _TEXTS),
             ("ProcurementProject", T.ArrayType(_PROJECT)),
-            ("ProcurementProjectLot", T.ArrayType(_struct(("ProcurementProject", T.ArrayType(_PROJECT))))),
             (
-                "TenderingProcess",
-                T.ArrayType(_struct(("TenderSubmissionDeadlinePeriod", T.ArrayType(_struct(("EndDate", _TEXTS)))))),
+                "ProcurementProjectLot",
+                T.ArrayType(_struct(("ProcurementProject", T.ArrayType(_PROJECT)), ("TenderingProcess", _PROCESSES))),
             ),
+            ("TenderingProcess", _PROCESSES),
             ("LegalDocumentReference", _REFERENCES),
             ("TechnicalDocumentReference", _REFERENCES),
         ),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -14,6 +13,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A skewed join is split even if what follows then needs a shuffle of its own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
@@ -29,13 +30,6 @@ def build_session(app_name: str = "tenderloom", master: str | None = None, **set
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below `spark.checkpoint.dir`, which every executor must be able to reach.
-
-    Only a local session may do without that setting; it then gets a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="tenderloom-")
+    """A fresh folder below `spark.checkpoint.dir`, or else below the warehouse; all executors share both."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tenderloom/{purpose}-{uuid.uuid4().hex}"

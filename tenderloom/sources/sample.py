@@ -98,46 +98,43 @@ def tender_notices_by_country(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def award_lots(spark: SparkSession, folder: str) -> DataFrame:
-    """Award notices with the facts of their lots, reduced to fixed-size values per notice."""
+    """Award notices, one per order and month of shipping, with their lots in order: at most seven, as an
+    order has."""
     flag = F.col("l_returnflag")
-    selected = flag == "N"
+    shipped = F.col("l_shipdate").cast("date")
     return (
         table(spark, folder, "lineitem")
         .select(
             "l_orderkey",
-            F.col("l_shipdate").cast("date").alias("publication_date"),
-            selected.alias("selected"),
-            (flag == "R").alias("closed"),
-            F.when(selected, F.col("l_extendedprice")).alias("price"),
-            F.when(selected, F.col("l_suppkey")).alias("winner"),
+            F.date_format(shipped, "yyyy-MM").alias("month"),
+            shipped.alias("shipped"),
+            F.struct(
+                F.col("l_linenumber").alias("number"),
+                F.when(flag == "N", LOT_AWARDED).when(flag == "R", LOT_CLOSED).alias("status"),
+                F.when(flag == "N", F.col("l_extendedprice")).alias("price"),
+                F.when(flag == "N", _text("S-", F.col("l_suppkey"))).alias("winner"),
+            ).alias("lot"),
         )
-        .groupBy("l_orderkey", "publication_date")
+        .groupBy("l_orderkey", "month")
         .agg(
-            F.bool_or("selected").alias("selected"),
-            F.bool_or("closed").alias("closed"),
-            F.round(F.sum("price"), 2).alias("result_value"),
-            F.min("price").alias("lowest"),
-            F.max("price").alias("highest"),
-            F.min("winner").alias("winner_a"),
-            F.max("winner").alias("winner_b"),
+            F.max("shipped").alias("publication_date"),
+            F.array_sort(F.collect_list("lot")).alias("lots"),
+            F.round(F.sum("lot.price"), 2).alias("result_value"),
         )
     )
 
 
-def _lot_statuses() -> Column:
-    """The distinct lot statuses of a notice; a lot without a status adds none."""
-    return F.array_compact(
-        F.array(F.when(F.col("selected"), LOT_AWARDED), F.when(F.col("closed"), LOT_CLOSED))
-    )
+def _of_lots(name: str) -> Column:
+    """One value of each lot that has it, in order of the lots."""
+    return F.array_compact(F.transform("lots", lambda lot: lot[name]))
 
 
 def award_notices(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("l_orderkey")
-    winners = F.array(_text("S-", F.col("winner_a")), _text("S-", F.col("winner_b")))
     return (
         award_lots(spark, folder)
         .select(
-            _text("W-", key, "-", F.col("publication_date")).alias("publication_number"),
+            _text("W-", key, "-", F.col("month")).alias("publication_number"),
             F.lit(NOTICE_TYPE_OF_KIND[AWARD]).alias("notice_type"),
             F.lit(AWARD).alias("kind"),
             _text("P-", key).alias("procedure_id"),
@@ -149,9 +146,9 @@ def award_notices(spark: SparkSession, folder: str) -> DataFrame:
             "publication_date",
             _missing("deadline").alias("deadline"),
             _missing("estimated_value").alias("estimated_value"),
-            F.when(F.col("selected"), F.array_distinct(winners)).alias("winner_names"),
-            _lot_statuses().alias("winner_selection_status"),
-            F.array_compact(F.array("lowest", "highest")).alias("tender_values"),
+            F.array_distinct(_of_lots("winner")).alias("winner_names"),
+            _of_lots("status").alias("winner_selection_status"),
+            _of_lots("price").alias("tender_values"),
             "result_value",
         )
         .withColumn("award_outcome", award_outcome(F.col("kind"), F.col("winner_selection_status")))
@@ -263,22 +260,24 @@ def tender_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def award_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw award hits, one per order and ship date."""
+    """Raw award hits, one per order and month of shipping."""
     key, day = F.col("l_orderkey"), F.col("publication_date")
-    statuses = _lot_statuses()
-    a, b = _text("S-", F.col("winner_a")), _text("S-", F.col("winner_b"))
+    statuses, winners, prices = _of_lots("status"), _of_lots("winner"), _of_lots("price")
+    # Prices come as text and as numbers, with one entry that is neither.
+    shown = F.transform(prices, lambda price, k: F.when(k % 2 == 0, _quoted(price)).otherwise(price.cast("string")))
     fields = {
-        "publication-number": _quoted("W-", key, "-", day),
+        "publication-number": _quoted("W-", key, "-", F.col("month")),
         "notice-type": _quoted("can-standard"),
         "procedure-identifier": _quoted("P-", key),
         "classification-cpv": _text('["', _code(key), '","', _code(key), '"]'),
         "notice-title": _text('{"eng":"Award ', key, '"}'),
         "publication-date": _quoted(day, "+01:00"),
-        "winner-name": F.when(F.col("selected"), _text('{"spa":["', a, '","","', b, '","', a, '"],"eng":["x"]}')),
-        "winner-selection-status": F.when(F.size(statuses) > 0, F.to_json(statuses)),
-        "tender-value": F.when(
-            F.col("selected"), _text('["', F.col("lowest"), '","bad",', F.col("highest"), "]")
+        "winner-name": F.when(
+            F.size(winners) > 0,
+            _text('{"spa":["', F.array_join(winners, '","'), '","","', F.get(winners, F.lit(0)), '"],"eng":["x"]}'),
         ),
+        "winner-selection-status": F.when(F.size(statuses) > 0, F.to_json(statuses)),
+        "tender-value": F.when(F.size(prices) > 0, _text("[", F.array_join(shown, ","), ',"bad"]')),
         "result-value-notice": _quoted(F.col("result_value")),
     }
     return award_lots(spark, folder).select(
@@ -286,11 +285,23 @@ def award_hits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def unnumbered_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Tender hits of which some have lost their number, and some can't be read at all."""
+    number = r'"publication-number":"[^"]*",'
+    lost = F.regexp_replace("notice", number, "")
+    return tender_hits(spark, folder).select(
+        F.when(F.col("page_key") % 37 == 0, lost)
+        .when(F.col("page_key") % 41 == 0, F.substring("notice", 1, 30))
+        .otherwise(F.col("notice"))
+        .alias("notice")
+    )
+
+
 def notice_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of hits, one page per row.
 
     A page takes the orders of a key range, or the awards of a smaller one and a year: at most
-    100 and 4 x 366 hits, whatever the size of the data.
+    100 and 4 x 12 hits, whatever the size of the data.
     """
     tenders = tender_hits(spark, folder).select(
         F.floor(F.col("page_key") / 100).alias("page"), F.lit(0).alias("year"), "notice"
@@ -390,6 +401,10 @@ def feed_entries(spark: SparkSession, folder: str) -> DataFrame:
         _element(
             "cac:ProcurementProjectLot",
             _element("cac:ProcurementProject", _element("cbc:Name", "lot name"), commodity("98000000")),
+            _element(
+                "cac:TenderingProcess",
+                _element("cac:TenderSubmissionDeadlinePeriod", _element("cbc:EndDate", "2026-06-01+02:00")),
+            ),
         ),
     ).otherwise("")
     deadline = F.when(key % 7 == 0, F.lit("")).otherwise(
@@ -519,6 +534,24 @@ def document_costs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def landed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """First legal documents of the feed's tenders as landed; some are no PDF, some empty, some never came."""
+    key = F.col("p_partkey")
+    content = (
+        F.when(key % 8 == 0, _text("<html>", F.col("p_name")))
+        .when(key % 10 == 1, F.lit(""))
+        .otherwise(_text("%PDF-1.7 ", F.col("p_name")))
+    )
+    return (
+        table(spark, folder, "part")
+        .where(key % 8 != 4)
+        .select(
+            _text("https://documents.example/", key, "/", LEGAL, "/1?a=1&b=2").alias("uri"),
+            content.cast("binary").alias("content"),
+        )
+    )
+
+
 def document_contents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as bytes; every third one carries the mark of a PDF file, every fifth a late one."""
     key = F.col("doc_id")
@@ -534,7 +567,8 @@ def document_contents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def notice_corrections(spark: SparkSession, folder: str) -> DataFrame:
-    """Re-published tender notices: returned line items, several per order, plus unseen notices."""
+    """Re-published tender notices: returned line items, several per order, plus unseen notices. Of some it is not
+    known when they landed."""
     key = F.col("l_orderkey")
     return (
         table(spark, folder, "lineitem")
@@ -546,7 +580,9 @@ def notice_corrections(spark: SparkSession, folder: str) -> DataFrame:
             F.col("l_shipdate").cast("date").alias("publication_date"),
             F.col("l_extendedprice").alias("estimated_value"),
             _text("Revision ", F.col("l_partkey"), "/", F.col("l_suppkey")).alias("title"),
-            F.struct("l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey").alias("landed"),
+            _unless(
+                F.col("l_linenumber") % 3 == 0, F.struct("l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey")
+            ).alias("landed"),
         )
     )
 

@@ -26,14 +26,13 @@ def number_entries(entries: DataFrame) -> DataFrame:
     return entries.select(*FEED_ENTRY.names, landed.alias("landed"))
 
 
-def scan_entries(spark: SparkSession, path: str, max_entries: int | None = None) -> DataFrame:
+def scan_entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries of all feed pages below `path`, with `landed`, which orders them by arrival.
 
     One task reads one page; pages are bounded by the publisher, at some 15 MB.
     """
     reader = spark.read.format("xml").options(**_OPTIONS).schema(FEED_ENTRY)
-    entries = number_entries(_with_arrival(reader.load(path)))
-    return entries if max_entries is None else entries.limit(max_entries)
+    return number_entries(_with_arrival(reader.load(path)))
 
 
 def stream_entries(spark: SparkSession, path: str) -> DataFrame:

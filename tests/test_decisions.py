@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tenderloom.operators import backtest, cost, eligibility, grading, skew
+from tenderloom.operators import backtest, cost, eligibility, grading
 from tenderloom.schemas import PROFILES, TENDERS
 
 FULL_PROFILE = {
@@ -164,7 +164,6 @@ def test_pairs_against_brute_force(spark, hot_share):
 
     pairs = sorted({(pick("T"), pick("C")) for _ in range(3000)}) + [("T0", "nobody"), ("nothing", "C0")]
     bids = spark.createDataFrame(pairs, "tender_id string, company string")
-    assert bool(skew.hot_keys(bids, "tender_id")["tender_id"]) == (hot_share > 0)
     found = eligibility.check_bids(
         bids,
         spark.createDataFrame(tenders, TENDERS),
@@ -177,22 +176,6 @@ def test_pairs_against_brute_force(spark, hot_share):
     assert len(found) == len(expected) and got == expected
 
 
-def test_hot_keys_are_spread_without_losing_rows(spark):
-    rows = spark.range(9000).select(
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"),
-        F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id")).alias("other"),
-    )
-    lookup = rows.select("k").distinct().withColumn("v", F.length("k"))
-    hot = skew.hot_keys(rows, "k", "other")
-    assert hot == {"k": ["hot"], "other": []}
-    joined = skew.spread_lookup(rows, "k", [(lookup, "inner")], hot["k"], spread_by="other")
-    assert joined.columns == ["k", "other", "v"]
-    assert joined.exceptAll(rows.join(lookup, "k")).count() == 0 and joined.count() == 9000
-    some = lookup.where("v = 3").withColumnRenamed("v", "w")
-    both = skew.spread_lookup(rows, "k", [(lookup, "inner"), (some, "left")], hot["k"], spread_by="other")
-    assert both.count() == 9000 and both.where("w = 3").count() == rows.where("length(k) = 3").count()
-
-
 # --- grading ----------------------------------------------------------------------------
 
 TRUTH = "tender_id string, budget double, cpv_primary string, deadline date"

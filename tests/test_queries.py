@@ -6,9 +6,10 @@ import pytest
 from compare import compare
 
 import __spark_entry__ as contract
+from tenderloom.plans import oracle, queries
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = queries.queries()
+SQL = oracle.oracle_sql()
 
 
 def test_every_query_has_its_sql():
