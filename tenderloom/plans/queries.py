@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tenderloom.functions.outcomes import notice_kind
 from tenderloom.operators import backtest, cost, eligibility, grading, links, monitoring, search, tenders, upsert
 from tenderloom.operators.normalize import normalize_notices, require_keyed, split_unkeyed
-from tenderloom.plans.dataset import select_window
+from tenderloom.plans.dataset import apply_batch, select_window
 from tenderloom.session import shared_folder
 from tenderloom.sources import documents, notice_pages, sample, tender_feed
 
@@ -225,6 +225,13 @@ def _window(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Links after a second landing, from those of the first; equal to links of all that then holds."""
+    before = sample.notices(spark, folder)
+    linked = links.link_procedures(before)
+    return apply_batch(before, linked, sample.second_landing(spark, folder))[1]
+
+
 def _quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """How many hits of a window are taken in, and how many without a number are set aside."""
     kept, aside = split_unkeyed(select_window(sample.unnumbered_hits(spark, folder), *WINDOW))
@@ -339,6 +346,7 @@ def queries() -> dict[str, Query]:
         **from_notices,
         "ingest_window": _window,
         "ingest_quarantine": _quarantine,
+        "incremental_dataset": _incremental,
         **from_tenders,
         **decisions,
         **scores,

@@ -587,6 +587,18 @@ def notice_corrections(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def second_landing(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole tender notices that are published again, twice: later, and under other procedures."""
+    first = tender_notices(spark, folder).withColumn("key", F.substring("publication_number", 3, 20).cast("bigint"))
+    again = first.where("key % 10 = 3").withColumn("landed", F.explode(F.array(F.lit(1), F.lit(2))))
+    return again.select(
+        *[F.col(name) for name in NOTICES.names if name not in ("procedure_id", "publication_date")],
+        _text("P-", F.col("key") + F.col("landed")).alias("procedure_id"),
+        F.date_add("publication_date", F.col("landed") * 5).alias("publication_date"),
+        "landed",
+    ).select(*NOTICES.names, "landed")
+
+
 def tender_corrections(spark: SparkSession, folder: str) -> DataFrame:
     """Re-published feed tenders; those on the seventh line have lost their id."""
     return (

@@ -35,9 +35,11 @@ def scan_entries(spark: SparkSession, path: str) -> DataFrame:
     return number_entries(_with_arrival(reader.load(path)))
 
 
-def stream_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries as their pages arrive; each micro-batch goes through `number_entries`."""
-    return _with_arrival(spark.readStream.format("xml").options(**_OPTIONS).schema(FEED_ENTRY).load(path))
+def stream_entries(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Entries as their pages arrive, a bounded number of pages at a time; each micro-batch goes through
+    `number_entries`."""
+    reader = spark.readStream.format("xml").options(**_OPTIONS).option("maxFilesPerTrigger", files_per_batch)
+    return _with_arrival(reader.schema(FEED_ENTRY).load(path))
 
 
 def entry_from_text(text: Column) -> Column:

@@ -289,3 +289,16 @@ def test_cost(spark):
     rates = {"m": 1.0, "free": 0.0, "dear": 5.0}
     rows = {r.model: (r.documents, r.input_tokens, r.usd, r.usd_per_document) for r in cost.run_cost(frame, rates).collect()}
     assert rows == {"m": (2, 1_500_000, 1.5, 0.75), "other": (1, 2_000_000, 10.0, 10.0), "free": (1, 0, 0.0, 0.0)}
+
+
+def test_what_was_not_readable_was_not_read(spark):
+    day = dt.date(2026, 1, 2)
+    keys = ["pdf", "page", "empty", "absent"]
+    gradable = spark.createDataFrame(
+        [(k, f"u/{k}", 5.0, "45", day) for k in keys],
+        "tender_id string, document_uri string, estimated_value double, cpv_primary string, deadline date",
+    )
+    landed = spark.createDataFrame([("u/pdf", True), ("u/pdf", True), ("u/page", False), ("u/empty", False)], "uri string, is_pdf boolean")
+    got = spark.createDataFrame([(k, 5.0, "45", day) for k in keys], TRUTH)
+    card = {r.field: (r.match, r.mismatch) for r in grading.feed_evaluation(gradable, landed, got).collect()}
+    assert card == {"budget": (1, 3), "cpv_primary": (1, 3), "deadline": (1, 3), "overall": (3, 9)}

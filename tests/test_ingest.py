@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderloom.operators.normalize import normalize_notices, require_keyed
 from tenderloom.plans.dataset import build_dataset, resume_date
 from tenderloom.plans.views import register_dataset, register_ingested
 from tenderloom.schemas import NOTICES
@@ -200,3 +201,23 @@ def test_dataset_build(spark, tmp_path):
     register_dataset(spark, str(tmp_path / "v2"))
     assert spark.sql("SELECT tender_pub FROM procedure_links WHERE outcome = 'awarded'").first()[0] == "T1"
     assert resume_date(stored.where(F.lit(False))) is None
+
+
+def test_hits_without_a_number_are_never_lost(spark, tmp_path):
+    landing = str(tmp_path / "in")
+    land(landing, "1.json", hit("1"), {"notice-type": "cn-standard"}, {"publication-number": None, "x": 1})
+    with pytest.raises(ValueError, match="without a publication number"):
+        build_dataset(spark, landing, None, str(tmp_path / "v1"), "2025-01-01", "2025-02-28")
+    aside = str(tmp_path / "aside")
+    report = build_dataset(spark, landing, None, str(tmp_path / "v2"), "2025-01-01", "2025-02-28", quarantine=aside)
+    assert {(r.measure, r.label): r.value for r in report.collect()}[("ingested", "tender")] == 1.0
+    unread = [json.loads(r.unread) for r in spark.read.json(aside).collect()]
+    assert sorted(unread, key=str) == [{"notice-type": "cn-standard"}, {"publication-number": None, "x": 1}]
+
+
+def test_the_check_for_numbers_does_not_depend_on_what_is_read(spark):
+    hits = spark.createDataFrame([('{"publication-number":"1"}',), ('{"notice-type":"x"}',)], "notice string")
+    checked = require_keyed(normalize_notices(hits))
+    for job in (checked.count, checked.select("title").collect):
+        with pytest.raises(Exception, match="without a publication number"):
+            job()

@@ -71,7 +71,7 @@ def test_reports_on_links(spark, linked):
     assert {r.outcome: r.n for r in links.link_outcomes(found).collect()} == {"awarded": 2, "desierto": 1, "unknown": 3}
     assert links.median_lag(found).first()[0] == 50.0
     assert [r.procedure_id for r in links.resolved_outcomes(found).collect()] == ["P1", "P2", "P5"]
-    assert [r[0] for r in links.backfill_worklist(frame, 5).collect()] == ["P7"]
+    assert [r[0] for r in links.backfill_worklist(frame).collect()] == ["P7"]
     assert links.award_procedures(frame).count() == 6
     nothing = spark.createDataFrame([], PROCEDURE_LINKS)
     assert links.median_lag(nothing).collect()[0][0] is None
@@ -153,3 +153,23 @@ def test_upsert(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, once.collect()))
     unchanged = upsert.upsert(existing, batch.where("false"), "k", "seq")
     assert sorted(map(tuple, unchanged.collect())) == [("a", "old"), ("b", None)]
+
+
+def test_a_row_without_an_order_replaces_no_row_that_has_one(spark):
+    batch = spark.createDataFrame(
+        [("a", "placed", 1), ("a", "x", None), ("b", "x", None), ("c", "low", 2), ("c", "tie", 2), (None, "y", 9)],
+        "k string, v string, seq int",
+    )
+    found = upsert.latest_rows(batch, "k", "seq").collect()
+    assert sorted(map(tuple, found)) == [("a", "placed"), ("b", "x"), ("c", "tie")]
+
+
+def test_report_is_one_pass_with_a_zero_for_kinds_without_rows(spark):
+    batch = spark.createDataFrame([("tender",)], "kind string")
+    rows = [("awarded", 10), ("awarded", 20), ("unknown", None)]
+    linked = spark.createDataFrame(rows, "outcome string, lag_days long")
+    report = {(r.measure, r.label): r.value for r in monitoring.dataset_report(batch, linked).collect()}
+    assert report == {
+        ("ingested", "tender"): 1.0, ("ingested", "award"): 0.0, ("linked", "all"): 3.0, ("outcome", "awarded"): 2.0,
+        ("outcome", "unknown"): 1.0, ("median_lag_days", "all"): 15.0,
+    }

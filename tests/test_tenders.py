@@ -61,7 +61,8 @@ BUDGETS = {
 LOTS = (
     "<entry><id>lots</id><e:ContractFolderStatus><a:ProcurementProjectLot><a:ProcurementProject><b:Name>Lot one</b:Name>"
     "<a:RequiredCommodityClassification><b:ItemClassificationCode>33</b:ItemClassificationCode></a:RequiredCommodityClassification>"
-    "</a:ProcurementProject></a:ProcurementProjectLot></e:ContractFolderStatus></entry>"
+    "</a:ProcurementProject><a:TenderingProcess><a:TenderSubmissionDeadlinePeriod><b:EndDate>2026-03-04</b:EndDate>"
+    "</a:TenderSubmissionDeadlinePeriod></a:TenderingProcess></a:ProcurementProjectLot></e:ContractFolderStatus></entry>"
 )
 
 
@@ -97,6 +98,7 @@ def test_entries_with_gaps(parsed):
     assert bare.documents == [] and bare.budget is None and bare.expediente is None
     assert {name: parsed[name].budget for name in BUDGETS} == {name: value for name, (_, value) in BUDGETS.items()}
     assert (parsed["lots"].title, parsed["lots"].cpv_primary) == ("Lot one", "33")
+    assert parsed["lots"].deadline == dt.date(2026, 3, 4) and bare.deadline is None
     assert len(parsed) == 3 + len(BUDGETS)
 
 
@@ -107,9 +109,6 @@ def test_deadline_is_that_of_its_own_block(spark):
     assert text.select(F.expr(f"get(xpath(x, '{path}'), 0)")).first()[0] == "2026-07-13"
 
 
-def test_entry_limit(spark, feed_folder):
-
-
 def test_broken_feed_fails(spark, tmp_path):
     (tmp_path / "broken.atom").write_text(HEAD + "<entry><id>1</id>")
     with pytest.raises(Exception, match="(?i)malformed|FAILED_READ_FILE"):
