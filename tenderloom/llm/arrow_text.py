@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -24,6 +25,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def small_batches(frame: DataFrame) -> DataFrame:
+    """The same rows, in a session that hands them to Python in batches of a few megabytes. Texts are long rows: by the
+    usual counts, batches on both sides of the pipe hold more than the work on them does."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return frame
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `limit` bytes of text each; a longer text is a part of its own."""
     if not batch.num_rows:

@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from .arrow_text import list_array, ragged_positions, slices, text_bytes, totals
+from .arrow_text import list_array, ragged_positions, slices, small_batches, text_bytes, totals
 from .pieces import PieceTable, library_encoder, piece_starts
 from .token_counts import byte_characters
 
 
+DECODED_IDS = 1 << 18  # ids decoded at a time, in whole rows
+
+
 def read_ranks(name: str) -> dict[bytes, int]:
     with open(public_tokenizers.path(name), "rb") as file:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
@@ -55,8 +58,7 @@ def build_tokenizer(ranks: dict[bytes, int]) -> Tokenizer:
 
 class Codec:
     def __init__(self, name: str):
-        ranks = read_ranks(name)
-        self.table = PieceTable(library_encoder(build_tokenizer(ranks)))
+        self.name, ranks = name, read_ranks(name)
         tokens = sorted(ranks, key=ranks.get)
         if [ranks[token] for token in tokens] != list(range(len(tokens))):
             raise ValueError(f"{name}: ranks are not 0, 1, 2, ...")
@@ -64,6 +66,11 @@ class Codec:
         self.first = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
+    @functools.cached_property
+    def table(self) -> PieceTable:
+        """Made on first use; workers that only decode do without."""
+        return PieceTable(library_encoder(build_tokenizer(read_ranks(self.name))))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text begin."""
         raw, edges = text_bytes(texts)
@@ -108,7 +115,7 @@ def _mapped(docs: DataFrame, make, source: str, added: dict[str, str], drop: boo
             for part, arrays in make(batch):
                 yield pa.RecordBatch.from_arrays([*part.select(names).columns, *arrays], [*names, *added])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def encode(
@@ -139,11 +146,12 @@ def decode(
 
     def make(batch: pa.RecordBatch):
         coder = codec(vocabulary)
-        for k in range(0, batch.num_rows, 1024):
-            part = batch.slice(k, 1024)
-            column = part.column(part.schema.get_field_index(ids)).fill_null(pa.scalar([], pa.list_(pa.int32())))
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            lengths = np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+        column = batch.column(batch.schema.get_field_index(ids))
+        every = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(every) // DECODED_IDS)) + 1
+        for k, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+            part, lengths = batch.slice(k, stop - k), every[k:stop]
+            flat = column.slice(k, stop - k).flatten().to_numpy(zero_copy_only=False)
             raw, where = coder.decode(flat, np.concatenate([[0], np.cumsum(lengths)]))
             parts = [pa.py_buffer(where.astype(np.int64)), pa.py_buffer(raw)]
             yield part, [pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, *parts]).cast(pa.binary())]

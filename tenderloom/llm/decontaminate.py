@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .arrow_text import slices
+from .arrow_text import slices, small_batches
 from .word_hashes import NO_LETTERS, word_hashes
 
 MATCH, OTHER = 2, -1
@@ -213,7 +213,7 @@ def find_leaks(
 ) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, score (up to 1), and the word of the text at
     which the alignment ends. `docs` has doc_id; `items` has item_id and text."""
-    rows = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
+    rows = small_batches(docs).select("doc_id", F.col(f"`{text}`").alias("text"))
     schema = "doc_id long, item_id long, score double, end_word long"
     found = rows.sparkSession.createDataFrame([], schema)
     for index in _indexes(rows, items, size, bits, least_seeds, block_chars):
@@ -245,7 +245,7 @@ def drop_leaks(
     block_chars: int = 16 << 20,
 ) -> DataFrame:
     """The rows whose texts hold no item, as they are; rows are judged where they are read, without a shuffle."""
-    kept = docs
+    kept = small_batches(docs)
     texts = docs.select(F.lit(0).alias("doc_id"), F.col(f"`{text}`").alias("text"))
     where = docs.columns.index(text)
     for index in _indexes(texts, items, size, bits, least_seeds, block_chars):

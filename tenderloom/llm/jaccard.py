@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import list_array, slices
+from .arrow_text import list_array, slices, small_batches
 from .components import components
 from .shared import written
 from .word_hashes import MIX, STEP, SPACES, mixed, word_hashes
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, text: str, size: int, bands: int, rows: int) ->
                     ["doc_id", "high", "low", "n_shingles", "bands"],
                 )
 
-    rows_of = docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").alias("text"))
+    rows_of = small_batches(docs).select(F.col("doc_id").cast("long"), F.col(f"`{text}`").alias("text"))
     return rows_of.mapInArrow(run, "doc_id long, high long, low long, n_shingles long, bands array<long>")
 
 

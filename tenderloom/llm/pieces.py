@@ -15,7 +15,7 @@ import numpy as np
 from .arrow_text import ragged_positions
 
 LONGEST = 48  # bytes; longer pieces are tokenized without being kept
-CHUNK = 1 << 18  # pieces hashed at a time
+CHUNK = 1 << 16  # pieces hashed at a time
 
 _SPACE, _LETTER, _PUNCT, _PLAIN = 1, 2, 4, 8
 _KIND = np.zeros(256, np.uint8)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_text import small_batches
+
 # Kinds in the order in which spans at one place are listed.
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(
@@ -224,4 +226,4 @@ def find_secrets(docs: DataFrame, text: str = "text", redact: bool = False, most
             arrays = [pa.array(rows[n], pa.string() if kinds[n] == "string" else pa.int64()) for n in added]
             yield pa.RecordBatch.from_arrays([*columns, *arrays], [*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import slices, text_bytes, totals
+from .arrow_text import slices, small_batches, text_bytes, totals
 from .pieces import PieceTable, piece_starts
 
 NONE = np.int32(np.iinfo(np.int32).max)
@@ -176,5 +176,5 @@ def count_tokens(
                     [*kept.columns, pa.array(n_bytes), pa.array(n_tokens)], [*kept.schema.names, *added]
                 )
 
-    counted = docs.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(count, schema)
+    counted = small_batches(docs).select(*[F.col(f"`{c}`") for c in others]).mapInArrow(count, schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

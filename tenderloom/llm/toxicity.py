@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import list_array, slices, text_bytes
+from .arrow_text import list_array, slices, small_batches, text_bytes
 from .pieces import PieceTable, piece_starts
 from .shared import written
 
@@ -201,7 +201,7 @@ def choose_features(rows: DataFrame, prior: float, most: int, lift: float = 5.0)
 def train(docs: DataFrame, labels: DataFrame, most_confirmed: int = 5_000, most_unlabelled: int = 15_000,
           most_features: int = 20_000, members: int = 5) -> Model:
     """Fits `members` classifiers, each in a task of its own, each without one part of the samples."""
-    rows, prior = samples(docs, labels, most_confirmed, most_unlabelled)
+    rows, prior = samples(small_batches(docs), labels, most_confirmed, most_unlabelled)
     features = choose_features(rows, prior, most_features)
     if not len(features):
         return Model(features, np.zeros((1, 0)), np.array([-4.0]))
@@ -245,4 +245,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 scores = model.probabilities(row, feature, part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(scores)], [*names, "score"])
 
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return small_batches(docs).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

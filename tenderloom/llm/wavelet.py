@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .arrow_text import slices, text_bytes, totals
+from .arrow_text import slices, small_batches, text_bytes, totals
 from .pieces import PieceTable, library_encoder, piece_starts
 from .shared import written
 
@@ -251,7 +251,7 @@ def write_shards(
 
     store, root = pa.fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)  # there without documents too
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
     files = written(ordered.mapInArrow(build, "shard string, n_docs long, n_tokens long"), "shards")
     # One row for each file, in the order of their names.

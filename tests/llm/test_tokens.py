@@ -103,8 +103,8 @@ def test_matrix_reads_counts_and_finds(n):
 def test_files_hold_all_documents_in_order(spark, odd_docs, no_docs):
     folder = shared_folder(spark, "test-wavelet")
     files = wavelet.write_shards(odd_docs, folder, shard_tokens=1000)
-    back = wavelet.read_documents(spark, folder).join(files, "shard").withColumn("start", F.expr("base + first"))
-    rows = back.orderBy("start").select("doc_id", "start", back["n_tokens"], "ids_crc32").collect()
+    back = wavelet.read_documents(spark, folder).join(files.select("shard", "base"), "shard").withColumn("start", F.expr("base + first"))
+    rows = back.orderBy("start").select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     tokenizer, start = library("word_bpe_49k.json"), 0
     known = [(r["doc_id"], r["text"] or "") for r in odd_docs.select("doc_id", "text").collect()]
     ids = {key: [*tokenizer.encode(key[1], add_special_tokens=False).ids, 1] for key in known}
