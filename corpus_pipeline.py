@@ -36,7 +36,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the bytes that they decode to."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), keep_text=False))
+    coded = bpe.encode(docs.select("doc_id", "text"), keep_text=False, decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -112,8 +112,8 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document as a digest, and a digest of the bytes they decode to."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, keep_text=False))
-    return decoded.select(
+    coded = bpe.encode(docs, keep_text=False, decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
