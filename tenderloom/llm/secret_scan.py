@@ -4,7 +4,9 @@ A worklist starts with the text. Each layer is scanned for secrets; then its par
 Unicode escapes, base64 or base64 of compressed bytes are decoded, and each new layer joins the list. Digests of layers seen
 end cycles, so the list ends when no part gives a layer that is new. Every layer keeps for each of its characters the place
 in the text it came from, so a secret found in any layer becomes a span of the text: for escapes the characters that
-encode it, for base64 the groups of four that encode it, and for compressed bytes the whole encoded run.
+encode it, for base64 the groups of four that encode it, and for compressed bytes the groups that encode all of the
+stream. Base64 is read over line ends and blanks too, and compressed streams member after member, up to where they
+break off.
 
 Spans are code points, end exclusive. Null and empty texts have none. Texts are scanned whole. Equal spans from several
 layers count once. A compressed run that inflates beyond `most` bytes is scanned up to there, and `cut_layers` counts it;
@@ -38,9 +40,26 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPES = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Base64 that is no word, and words.
+_PIECE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z]?+[a-z]*+[A-Z0-9+/_-][A-Za-z0-9+/_-]*={0,2}")
+_WORD = re.compile(r"[A-Za-z][a-z]*")
+_NEXT_WORD = re.compile(r"([\x20\t\r\n]+)([A-Za-z][a-z]*+)(?![A-Za-z0-9+/_-])={0,2}")
+BLANKS = " \t\r\n"
+_GAP = re.compile(r"[\x20\t\r\n]+")
 _URL_SAFE = str.maketrans("-_", "+/")
 
+SHORTEST = 14  # characters of the shortest secret; encoded parts are longer
+_ENOUGH = re.compile(rb"[\t\n\r\x20-\x7e]{%d}" % SHORTEST)
+_TEXT = re.compile(
+    rb"(?:[\t\n\r\x20-\x7e]++|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
+    rb"|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++"
+)
+# First bytes of gzip and of zlib without a preset dictionary.
+_MARKS = [bytes((c, f)) for c in range(8, 128, 16) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32]
+_HEAD = re.compile(b"|".join([rb"\x1f\x8b\x08", *map(re.escape, _MARKS)]), re.DOTALL)
+_HEADS = re.compile(b"(?=" + _HEAD.pattern + b")", re.DOTALL)
+STEP = 1 << 14  # compressed bytes given to zlib at once
+
 Span = tuple[int, int, int]
 
 
@@ -61,29 +80,48 @@ class Layer:
         self.text, self.start, self.end = text, start, end
 
 
-def _from_bytes(raw: bytes, start: np.ndarray, end: np.ndarray) -> Layer | None:
-    """A layer of the bytes read as UTF-8, if they are text; `start`, `end` hold a span for each byte."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\n\r\t" for c in text) < 0.9 * len(text):
-        return None
-    values = np.frombuffer(raw, np.uint8)
-    first = np.flatnonzero((values & 0xC0) != 0x80)
-    return Layer(text, start[first], end[np.append(first[1:], len(raw)) - 1])
-
-
-def _inflate(raw: bytes, most: int) -> tuple[bytes, bool] | None:
-    """Decompressed gzip or zlib bytes, and whether they were cut at `most`."""
-    if not (raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    machine = zlib.decompressobj(47)
-    try:
-        out = machine.decompress(raw, most)
-    except zlib.error:
-        return None
-    return out, bool(machine.unconsumed_tail)
+def _stretches(raw: bytes, start: np.ndarray, end: np.ndarray) -> Iterator[Layer]:
+    """A layer of every stretch of the bytes that is text and long enough to hold a secret; `start`, `end` hold a span for
+    each byte. No secret and no encoded part reaches over a byte that is no text."""
+    if not _ENOUGH.search(raw):
+        return
+    for m in _TEXT.finditer(raw):
+        a, b = m.span()
+        if b - a >= SHORTEST:
+            first = a + np.flatnonzero((np.frombuffer(raw, np.uint8, b - a, a) & 0xC0) != 0x80)
+            yield Layer(m[0].decode(), start[first], end[np.append(first[1:], b) - 1])
+
+
+def _inflate(raw: bytes, begin: int, most: int) -> tuple[bytes, bool, int, bool]:
+    """Decompressed bytes of the gzip or zlib members from `begin` on, one after the other; whether they were cut at
+    `most`; the place behind what was read; whether the last member is complete. Of members that break off or are
+    damaged it gives what comes before."""
+    parts, left, at, eof = [], most, begin, False
+    while _HEAD.match(raw, at):
+        machine, step, eof, stop = zlib.decompressobj(47), STEP, False, at
+        while not machine.eof:
+            saved = machine.copy() if step > 1 else None
+            piece = raw[at : at + step]
+            try:
+                out = machine.decompress(piece, left)
+            except zlib.error:
+                if step == 1:
+                    break
+                machine, step = saved, 1  # again byte by byte, up to the damage
+                continue
+            used = len(piece) - len(machine.unconsumed_tail) - len(machine.unused_data)
+            if not out and not used:
+                break
+            parts.append(out)
+            at, left = at + used, left - len(out)
+            if not left and not machine.eof:
+                return b"".join(parts), True, len(raw), False
+        eof = machine.eof
+        if not eof or at == stop:
+            break
+        while raw[at : at + 1] == b"\0":  # padding between members
+            at += 1
+    return b"".join(parts), False, at, eof
 
 
 def _percent(layer: Layer) -> Layer | None:
@@ -129,38 +167,82 @@ def _escapes(layer: Layer) -> Layer | None:
     )
 
 
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Base64 runs as lists of their unbroken parts: each part on its own, and parts joined over line ends and blanks.
+    A word next to a run is no part of it, unless it is as long as the part beside it (a fixed width) or a last line."""
+    chain: list[tuple[int, int]] = []
+    behind, closed, by_word = 0, True, False
+    for m in _PIECE.finditer(text):
+        a, stop = m.span()
+        b = len(m[0].rstrip("=")) + a
+        joined = not closed and _GAP.fullmatch(text, behind, a) is not None
+        if not joined or by_word and b - a != chain[-1][1] - chain[-1][0]:
+            if len(chain) > 1 and sum(v - u for u, v in chain) >= 16:
+                yield chain
+            chain, before = [], a
+            while (w := len(text[max(0, before - 99) : before].rstrip(BLANKS)) + max(0, before - 99)) < before:
+                before = w - (b - a)  # words of the same width in front
+                if before < 0 or not _WORD.fullmatch(text, before, w) or text[max(0, before - 1) : before].strip(BLANKS):
+                    break
+                chain.insert(0, (before, w))
+        chain.append((a, b))
+        if b - a >= 16:
+            yield [(a, b)]
+        behind, closed, by_word = stop, stop > b, False
+        while not closed and (word := _NEXT_WORD.match(text, behind)):
+            u, v = word.span(2)
+            width = chain[-1][1] - chain[-1][0]
+            last_line = "\n" in word[1] and not by_word and 16 <= width > v - u and text[v : v + 1] in ("", "\r", "\n", "=")
+            if v - u != width and not last_line:
+                break
+            chain.append((u, v))
+            behind, closed, by_word = word.end(), word.end() > v, True
+    if len(chain) > 1 and sum(v - u for u, v in chain) >= 16:
+        yield chain
+
+
 def _base64(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
-    """A layer for each base64 run that holds text, or compressed text. A run may have up to three characters in front
-    that only look like base64."""
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if run.isalpha() and (run.islower() or run.istitle()):
-            continue
+    """A layer for each stretch of text, or of compressed text, in the base64 runs. A run may have up to three
+    characters in front that only look like base64. Of joined runs, those that cross a join."""
+    for parts in _runs(layer.text):
+        run = "".join(layer.text[a:b] for a, b in parts).translate(_URL_SAFE)
+        place, part = None, None
         for skip in range(4):
-            body = run[skip : len(run) - ((len(run) - skip) % 4 == 1)].translate(_URL_SAFE)
+            body = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
             raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-            a = m.start() + skip
-            inflated = _inflate(raw, most)
-            if inflated is not None:
-                out, cut = inflated
-                if cut:  # a character may be cut in two
-                    out = out.decode(errors="ignore").encode()
-                whole = np.zeros(len(out), np.int64)
-                found = _from_bytes(out, whole + layer.start[a], whole + layer.end[m.end() - 1])
-            else:
-                group = a + np.arange(len(raw)) // 3 * 4
-                last = np.minimum(group + 4, a + len(body)) - 1
-                cut, found = False, _from_bytes(raw, layer.start[group], layer.end[last])
-            if found is not None:
-                yield found, cut
-                break
+            packed, done = [], 0
+            for head in _HEADS.finditer(raw, 0, 3):
+                if head.start() == 0:
+                    out, cut, stop, eof = _inflate(raw, head.start(), most)
+                    done = stop if eof else done
+                    if len(out) >= SHORTEST:
+                        packed.append((out, cut, head.start(), stop))
+            if not packed and not _ENOUGH.search(raw):
+                continue
+            if place is None:
+                place = np.concatenate([np.arange(a, b) for a, b in parts])
+                part = np.repeat(np.arange(len(parts)), [b - a for a, b in parts])
+            group = skip + np.arange(len(raw)) // 3 * 4
+            last = np.minimum(group + 4, skip + len(body)) - 1
+            start, end = layer.start[place[group]], layer.end[place[last]]
+            for out, cut, at, stop in packed:
+                if len(parts) == 1 or part[group[at]] != part[last[stop - 1]]:
+                    whole = np.zeros(len(out), np.int64)
+                    for found in _stretches(out, whole + start[at], whole + end[stop - 1]):
+                        yield found, cut
+                        cut = False
+            byte = np.arange(len(raw))
+            for found in _stretches(raw, byte, byte):
+                first, final = found.start, found.end
+                if len(first) and (len(parts) == 1 and len(found.text.encode()) == len(raw) or part[group[first[0]]] != part[last[final[-1]]]):
+                    yield Layer(found.text, start[first], end[final]), False
 
 
 def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], set[Span], int, int]:
     """Spans of the text itself; spans from all layers; number of layers below the text; layers that were cut."""
     base = plain_spans(text)
     every, layers, cut_layers = set(base), 0, 0
-    if not ("%" in text or "\\" in text or _BASE64.search(text)):
+    if not ("%" in text or "\\" in text or next(_runs(text), None)):
         return base, every, 0, 0
     place = np.arange(len(text))
     work, seen = [Layer(text, place, place + 1)], {hashlib.sha1(text.encode()).digest()}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import gzip
 import re
+import zlib
 from urllib.parse import quote
 
 import pytest
@@ -91,3 +92,38 @@ def test_scan_keeps_rows(odd_docs, no_docs):
     assert found[9]["n_assign"] == 1 and "[REDACTED]" in found[9]["text"] and "abcdefgh1234" not in found[9]["text"]
     assert found[1]["text"] is None and found[2]["spans"] == ""
     assert secret_scan.find_secrets(no_docs).collect() == []
+
+
+def packed(text: str, pack=gzip.compress) -> str:
+    return base64.b64encode(pack(text.encode())).decode()
+
+
+NOISE = " ".join(f"{k * 7919 % 10007:x}" for k in range(400))
+WIDTHS = [(w, sep) for w in (64, 76, 20, 4) for sep in ("\n", "\r\n", "\n    ", " ")]
+
+
+@pytest.mark.parametrize("width,sep", WIDTHS)
+@pytest.mark.parametrize("value", [packed(f"{NOISE} {SECRET}", zlib.compress), packed(f"{NOISE} {SECRET}"), packed(f"{'x' * 40} {SECRET} x y")])
+def test_wrapped_layers_are_read_as_one(width, sep, value):
+    lines = [value[k : k + width] for k in range(0, len(value), width)]
+    text = f"é {sep.join(lines)} end"
+    every = secret_scan.scan(text)[1]
+    clean = secret_scan.redacted(text, every)
+    assert every and secret_scan.scan(clean)[1] == set() and clean.startswith("é ") and clean.endswith(" end")
+
+
+def test_last_lines_and_words_beside_wrapped_layers():
+    value = base64.b64encode(f"{'x' * 38} {SECRET}".encode()).decode().rstrip("=")
+    text = f"{value[:72]}\n{value[72:]}"
+    assert {b for _, b, _ in secret_scan.scan(text)[1]} >= {len(text)}
+    assert {b for _, b, _ in secret_scan.scan(f"{value} and")[1]} == {len(value)}
+
+
+def test_members_and_broken_streams():
+    members = base64.b64encode(gzip.compress(b"first") + gzip.compress(b"second") + gzip.compress(SECRET.encode())).decode()
+    crossing = base64.b64encode(gzip.compress(SECRET[:12].encode()) + gzip.compress(SECRET[12:].encode())).decode()
+    raw = gzip.compress(f"{SECRET} {NOISE}".encode())
+    inside = gzip.compress(f"{SECRET} {'é' * 40}".encode(), 0)
+    for one in (members, crossing, *(base64.b64encode(r).decode() for r in (raw[:-200], raw[:-9] + b"\0" * 9, inside[:-29]))):
+        base, every, layers, cut = secret_scan.scan(f"see {one} end")
+        assert base == [] and any(kind == 0 for _, _, kind in every) and cut == 0
