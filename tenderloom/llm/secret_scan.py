@@ -202,8 +202,8 @@ def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
 
 
 def _base64(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
-    """A layer for each stretch of text, or of compressed text, in the base64 runs. A run may have up to three
-    characters in front that only look like base64. Of joined runs, those that cross a join."""
+    """A layer for each stretch of text, or of compressed text, in the base64 runs. Whatever stands in front of it in a run
+    or behind it, one of four places to begin groups of four at is right. Of joined runs, those that cross a join."""
     for parts in _runs(layer.text):
         run = "".join(layer.text[a:b] for a, b in parts).translate(_URL_SAFE)
         place, part = None, None
@@ -211,8 +211,8 @@ def _base64(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
             body = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
             raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
             packed, done = [], 0
-            for head in _HEADS.finditer(raw, 0, 3):
-                if head.start() == 0:
+            for head in _HEADS.finditer(raw):
+                if head.start() >= done:
                     out, cut, stop, eof = _inflate(raw, head.start(), most)
                     done = stop if eof else done
                     if len(out) >= SHORTEST:
@@ -234,7 +234,7 @@ def _base64(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
             byte = np.arange(len(raw))
             for found in _stretches(raw, byte, byte):
                 first, final = found.start, found.end
-                if len(first) and (len(parts) == 1 and len(found.text.encode()) == len(raw) or part[group[first[0]]] != part[last[final[-1]]]):
+                if len(parts) == 1 or part[group[first[0]]] != part[last[final[-1]]]:
                     yield Layer(found.text, start[first], end[final]), False
 
 

@@ -127,3 +127,22 @@ def test_members_and_broken_streams():
     for one in (members, crossing, *(base64.b64encode(r).decode() for r in (raw[:-200], raw[:-9] + b"\0" * 9, inside[:-29]))):
         base, every, layers, cut = secret_scan.scan(f"see {one} end")
         assert base == [] and any(kind == 0 for _, _, kind in every) and cut == 0
+
+
+PLAIN = base64.b64encode(SECRET.encode()).decode()
+
+
+@pytest.mark.parametrize("front", ["example.com/redirect/", "backup-prod-", "data_key_", "a/b-c_d+e/", *("abcdefgh/"[k:] for k in range(8))])
+@pytest.mark.parametrize("back", ["", "/path/to", "-copy", "/x"])
+@pytest.mark.parametrize("value", [PLAIN.rstrip("="), packed(SECRET).rstrip("="), packed(SECRET, zlib.compress).rstrip("=")])
+def test_layers_between_paths_and_words(front, back, value):
+    text = f"see {front}{value}{back} end"
+    base, every, _, _ = secret_scan.scan(text)
+    assert base == [] and every and secret_scan.scan(secret_scan.redacted(text, every))[1] == set()
+    assert all(len(f"see {front}") - 4 <= a < b <= len(f"see {front}{value}") + 4 for a, b, _ in every)
+
+
+def test_bytes_that_are_no_text_split_layers():
+    for raw in (b"caf\xe9 \x00 " + SECRET.encode() + b"\xff\x00", b"\xff" * 99 + SECRET.encode() + b"\xc3"):
+        for shown in (raw, gzip.compress(raw)):
+            assert secret_scan.scan(base64.b64encode(shown).decode())[1]
