@@ -9,9 +9,10 @@ stream. Base64 is read over line ends and blanks too, and compressed streams mem
 break off.
 
 Spans are code points, end exclusive. Null and empty texts have none. Texts are scanned whole. Equal spans from several
-layers count once. A compressed run that inflates beyond `most` bytes is scanned up to there, and `cut_layers` counts it;
-that bound holds memory against bombs and is far above the thousandfold growth of a text of usual size. Repeated rows
-are scanned alike; other columns are kept, and columns that have the name of a result are replaced.
+layers count once. A compressed layer of any length is inflated and scanned in pieces that overlap, which holds memory
+against bombs; `n_layers` counts the pieces, and `cut_layers` the compressed layers of more than `most` bytes, which
+are scanned whole too. Repeated rows are scanned alike; other columns are kept, and columns that have the name of a
+result are replaced.
 """
 
 from __future__ import annotations
@@ -59,6 +60,9 @@ _MARKS = [bytes((c, f)) for c in range(8, 128, 16) for f in range(256) if (c <<
 _HEAD = re.compile(b"|".join([rb"\x1f\x8b\x08", *map(re.escape, _MARKS)]), re.DOTALL)
 _HEADS = re.compile(b"(?=" + _HEAD.pattern + b")", re.DOTALL)
 STEP = 1 << 14  # compressed bytes given to zlib at once
+PIECE = 1 << 22  # inflated bytes scanned at once, and how many are scanned again with the next piece
+OVERLAP = 1 << 16
+_WIDE = re.compile(rb"\x20{3,}")
 
 Span = tuple[int, int, int]
 
@@ -74,59 +78,109 @@ def plain_spans(text: str) -> list[Span]:
 
 
 class Layer:
-    """Decoded text, and for each of its characters the span of the outermost text that encodes it."""
+    """Decoded text, and for each of its characters the span of the outermost text that encodes it: two arrays, or two
+    numbers where all have the same span. `stream` is the compressed stream the layer comes from, if any."""
 
-    def __init__(self, text: str, start: np.ndarray, end: np.ndarray):
-        self.text, self.start, self.end = text, start, end
+    def __init__(self, text: str, start: np.ndarray | int, end: np.ndarray | int, stream: Stream | None = None):
+        self.text, self.start, self.end, self.stream = text, start, end, stream
 
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return (self.start, self.end) if isinstance(self.start, int) else (int(self.start[a]), int(self.end[b - 1]))
 
-def _stretches(raw: bytes, start: np.ndarray, end: np.ndarray) -> Iterator[Layer]:
-    """A layer of every stretch of the bytes that is text and long enough to hold a secret; `start`, `end` hold a span for
-    each byte. No secret and no encoded part reaches over a byte that is no text."""
-    if not _ENOUGH.search(raw):
-        return
-    for m in _TEXT.finditer(raw):
-        a, b = m.span()
-        if b - a >= SHORTEST:
-            first = a + np.flatnonzero((np.frombuffer(raw, np.uint8, b - a, a) & 0xC0) != 0x80)
-            yield Layer(m[0].decode(), start[first], end[np.append(first[1:], b) - 1])
+
+def _stretches(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Every stretch of the bytes that is text and long enough to hold a secret. No secret and no encoded part reaches over
+    a byte that is no text."""
+    if _ENOUGH.search(raw):
+        for m in _TEXT.finditer(raw):
+            if m.end() - m.start() >= SHORTEST:
+                yield m.span()
 
 
-def _inflate(raw: bytes, begin: int, most: int) -> tuple[bytes, bool, int, bool]:
-    """Decompressed bytes of the gzip or zlib members from `begin` on, one after the other; whether they were cut at
-    `most`; the place behind what was read; whether the last member is complete. Of members that break off or are
+def _inflate(raw: bytes, begin: int, most: int) -> Iterator[tuple[bytes, int, bool]]:
+    """Decompressed bytes of the gzip or zlib members from `begin` on, one after the other, in pieces of at most `most`;
+    with each the place behind what was read and whether a member is complete there. Of members that break off or are
     damaged it gives what comes before."""
-    parts, left, at, eof = [], most, begin, False
+    at = begin
     while _HEAD.match(raw, at):
-        machine, step, eof, stop = zlib.decompressobj(47), STEP, False, at
+        machine, step, stop = zlib.decompressobj(47), STEP, at
         while not machine.eof:
             saved = machine.copy() if step > 1 else None
             piece = raw[at : at + step]
             try:
-                out = machine.decompress(piece, left)
+                out = machine.decompress(piece, most)
             except zlib.error:
                 if step == 1:
-                    break
+                    return
                 machine, step = saved, 1  # again byte by byte, up to the damage
                 continue
             used = len(piece) - len(machine.unconsumed_tail) - len(machine.unused_data)
             if not out and not used:
                 break
-            parts.append(out)
-            at, left = at + used, left - len(out)
-            if not left and not machine.eof:
-                return b"".join(parts), True, len(raw), False
-        eof = machine.eof
-        if not eof or at == stop:
-            break
+            at += used
+            yield out, at, machine.eof
+        if not machine.eof or at == stop:
+            return
         while raw[at : at + 1] == b"\0":  # padding between members
             at += 1
-    return b"".join(parts), False, at, eof
+
+
+class Stream:
+    """A compressed stream as layers with one span, of about `PIECE` bytes each (`most`, if that is less). Each layer begins with the end of the one
+    before: as the span is the same everywhere, it is enough that each secret is whole in some layer, and a secret with
+    the escapes and base64 around it is far shorter than `OVERLAP` with blanks shortened. Only a compressed stream in this
+    one can be longer; while one is `open` at the end of a layer, the next layer begins where that layer does."""
+
+    def __init__(self, raw: bytes, begin: int, most: int, start: int, end: int, outer: Stream | None):
+        self.start, self.end, self.outer, self.open, self.n = start, end, outer, False, 0
+        most = min(most, PIECE)
+        self.pieces = self._joined(_inflate(raw, begin, most), most)
+        self.held = b""
+
+    @staticmethod
+    def _joined(pieces: Iterator[tuple[bytes, int, bool]], most: int) -> Iterator[bytes]:
+        held, size = [], 0
+        for piece, _, _ in pieces:
+            if size + len(piece) > most:
+                yield b"".join(held)
+                held, size = [], 0
+            held.append(piece)
+            size += len(piece)
+        yield b"".join(held)
+
+    def next(self) -> list[Layer] | None:
+        """The layers of the next piece, to be scanned to their ends before the next call; none at the end."""
+        piece = next(self.pieces, None)
+        if piece is None:
+            return None
+        self.n += 1
+        held = self.held if self.open else self.held[-OVERLAP:]
+        raw = held + piece
+        if self.n > 1 or len(raw) > OVERLAP:
+            raw = _WIDE.sub(b"  ", raw)
+        self.held, self.open = raw, False
+        return [Layer(raw[a:b].decode(), self.start, self.end, self) for a, b in _stretches(raw)]
+
+    def keep_open(self) -> None:
+        """Marks this stream and those around it: a stream in its layers goes on behind them."""
+        one: Stream | None = self
+        while one is not None:
+            one.open, one = True, one.outer
+
+
+def _decoded(layer: Layer, parts: list, starts: list, ends: list, at: int) -> Layer | None:
+    """The layer with its text up to `at` replaced by the parts."""
+    if not parts:
+        return None
+    text = "".join([*parts, layer.text[at:]])
+    if isinstance(layer.start, int):
+        return Layer(text, layer.start, layer.end, layer.stream)
+    return Layer(text, np.concatenate([*starts, layer.start[at:]]), np.concatenate([*ends, layer.end[at:]]), layer.stream)
 
 
 def _percent(layer: Layer) -> Layer | None:
     """The layer with all percent escapes decoded, as UTF-8 or else byte by byte."""
-    parts, starts, ends, at = [], [], [], 0
+    parts, starts, ends, at, same = [], [], [], 0, isinstance(layer.start, int)
     for m in _PERCENT.finditer(layer.text):
         raw = bytes.fromhex(m[0].replace("%", ""))
         first = np.arange(len(raw))
@@ -138,33 +192,27 @@ def _percent(layer: Layer) -> Layer | None:
         a, b = m.span()
         stop = np.append(first[1:], len(raw))
         parts += [layer.text[at:a], shown]
-        starts += [layer.start[at:a], layer.start[a + 3 * first]]
-        ends += [layer.end[at:a], layer.end[a + 3 * stop - 1]]
+        if not same:
+            starts += [layer.start[at:a], layer.start[a + 3 * first]]
+            ends += [layer.end[at:a], layer.end[a + 3 * stop - 1]]
         at = b
-    if not parts:
-        return None
-    return Layer(
-        "".join([*parts, layer.text[at:]]), np.concatenate([*starts, layer.start[at:]]), np.concatenate([*ends, layer.end[at:]])
-    )
+    return _decoded(layer, parts, starts, ends, at)
 
 
 def _escapes(layer: Layer) -> Layer | None:
     """The layer with all Unicode escapes decoded."""
-    parts, starts, ends, at = [], [], [], 0
+    parts, starts, ends, at, same = [], [], [], 0, isinstance(layer.start, int)
     for m in _ESCAPES.finditer(layer.text):
         code = int(next(g for g in m.groups() if g), 16)
         if code > 0x10FFFF or 0xD800 <= code < 0xE000:
             continue
         a, b = m.span()
         parts += [layer.text[at:a], chr(code)]
-        starts += [layer.start[at:a], layer.start[a : a + 1]]
-        ends += [layer.end[at:a], layer.end[b - 1 : b]]
+        if not same:
+            starts += [layer.start[at:a], layer.start[a : a + 1]]
+            ends += [layer.end[at:a], layer.end[b - 1 : b]]
         at = b
-    if not parts:
-        return None
-    return Layer(
-        "".join([*parts, layer.text[at:]]), np.concatenate([*starts, layer.start[at:]]), np.concatenate([*ends, layer.end[at:]])
-    )
+    return _decoded(layer, parts, starts, ends, at)
 
 
 def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -201,67 +249,101 @@ def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
         yield chain
 
 
-def _base64(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
-    """A layer for each stretch of text, or of compressed text, in the base64 runs. Whatever stands in front of it in a run
-    or behind it, one of four places to begin groups of four at is right. Of joined runs, those that cross a join."""
+def _base64(layer: Layer, most: int) -> Iterator[tuple[Layer | Stream, bool]]:
+    """A layer for each stretch of text in the base64 runs, and a stream for each compressed text, with whether it is longer
+    than `most`. Whatever stands in front of it in a run or behind it, one of four places to begin groups of four at is
+    right. Of joined runs, those that cross a join."""
     for parts in _runs(layer.text):
         run = "".join(layer.text[a:b] for a, b in parts).translate(_URL_SAFE)
-        place, part = None, None
+        # The last part may be cut so that it looks like a word, which is no part of the run.
+        goes_on = layer.stream is not None and parts[-1][1] >= len(layer.text.rstrip(BLANKS)) - 1000
+        edges = np.cumsum([0] + [b - a for a, b in parts])
+        begins = np.array([a for a, _ in parts])
+
+        def place(k: int | np.ndarray) -> tuple:
+            """Part and place in the layer of characters of the run."""
+            part = np.searchsorted(edges, k, "right") - 1
+            return part, begins[part] + k - edges[part]
+
         for skip in range(4):
             body = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
             raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-            packed, done = [], 0
+
+            def ends(a: int, b: int) -> tuple[int, int]:
+                """First and last character of the run that encode these bytes."""
+                return skip + a // 3 * 4, skip + min((b - 1) // 3 * 4 + 4, len(body)) - 1
+
+            done = 0
             for head in _HEADS.finditer(raw):
-                if head.start() >= done:
-                    out, cut, stop, eof = _inflate(raw, head.start(), most)
-                    done = stop if eof else done
-                    if len(out) >= SHORTEST:
-                        packed.append((out, cut, head.start(), stop))
-            if not packed and not _ENOUGH.search(raw):
-                continue
-            if place is None:
-                place = np.concatenate([np.arange(a, b) for a, b in parts])
-                part = np.repeat(np.arange(len(parts)), [b - a for a, b in parts])
-            group = skip + np.arange(len(raw)) // 3 * 4
-            last = np.minimum(group + 4, skip + len(body)) - 1
-            start, end = layer.start[place[group]], layer.end[place[last]]
-            for out, cut, at, stop in packed:
-                if len(parts) == 1 or part[group[at]] != part[last[stop - 1]]:
-                    whole = np.zeros(len(out), np.int64)
-                    for found in _stretches(out, whole + start[at], whole + end[stop - 1]):
-                        yield found, cut
-                        cut = False
-            byte = np.arange(len(raw))
-            for found in _stretches(raw, byte, byte):
-                first, final = found.start, found.end
-                if len(parts) == 1 or part[group[first[0]]] != part[last[final[-1]]]:
-                    yield Layer(found.text, start[first], end[final]), False
+                at = head.start()
+                if at < done:
+                    continue
+                size, stop, eof, sure, short = 0, at, True, raw[at] == 0x1F, b""
+                for out, stop, eof in _inflate(raw, at, min(most, PIECE)):
+                    size, sure, short = size + len(out), sure or eof, short + out if stop - at < 64 else b""
+                done = stop if eof else done
+                if stop > at and not eof and stop == len(raw) and goes_on:
+                    layer.stream.keep_open()
+                chance = size > 8 * (stop - at) or all(len({*short[a:b]}) < 6 for a, b in _stretches(short))
+                if not sure and stop - at < 64 and chance:
+                    continue  # two bytes that look like a head, and a few characters repeated
+                (u, a), (v, b) = (place(k) for k in ends(at, max(stop, at + 1)))
+                if size >= SHORTEST and (len(parts) == 1 or u != v):
+                    yield Stream(raw, at, most, layer.span(a, a + 1)[0], layer.span(b, b + 1)[1], layer.stream), size > most
+            for a, b in _stretches(raw):
+                x, y = ends(a, b)
+                if len(parts) > 1 and place(x)[0] == place(y)[0]:
+                    continue
+                text = raw[a:b].decode()
+                if isinstance(layer.start, int):
+                    yield Layer(text, layer.start, layer.end, layer.stream), False
+                    continue
+                first = a + np.flatnonzero((np.frombuffer(raw, np.uint8, b - a, a) & 0xC0) != 0x80)
+                final = np.append(first[1:], b) - 1
+                start = layer.start[place(skip + first // 3 * 4)[1]]
+                end = layer.end[place(np.minimum(skip + final // 3 * 4 + 4, skip + len(body)) - 1)[1]]
+                yield Layer(text, start, end, layer.stream), False
 
 
 def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], set[Span], int, int]:
-    """Spans of the text itself; spans from all layers; number of layers below the text; layers that were cut."""
+    """Spans of the text itself; spans from all layers; number of layers below the text; compressed layers longer than
+    `most`, which are scanned in several pieces."""
     base = plain_spans(text)
     every, layers, cut_layers = set(base), 0, 0
     if not ("%" in text or "\\" in text or next(_runs(text), None)):
         return base, every, 0, 0
     place = np.arange(len(text))
-    work, seen = [Layer(text, place, place + 1)], {hashlib.sha1(text.encode()).digest()}
+    work: list[Layer | Stream] = [Layer(text, place, place + 1)]
+    seen = {hashlib.sha1(text.encode()).digest()}
+
+    def add(one: Layer) -> None:
+        nonlocal layers
+        a, b = one.span(0, len(one.text))
+        digest = hashlib.sha1(one.text.encode(errors="surrogatepass")).digest()
+        if digest not in seen and (digest, a, b) not in seen:
+            seen.add((digest, a, b))
+            layers += 1
+            work.append(one)
+
     while work:
         layer = work.pop()
+        if isinstance(layer, Stream):
+            if (found := layer.next()) is not None:
+                work.append(layer)  # goes on when all layers of this piece are done
+                for one in found:
+                    add(one)
+            continue
         if layers:
-            every.update(
-                (int(layer.start[a]), int(layer.end[b - 1]), kind) for a, b, kind in plain_spans(layer.text)
-            )
-        found = list(_base64(layer, most))
-        found += [(one, False) for one in (_percent(layer), _escapes(layer)) if one is not None]
-        for one, cut in found:
-            digest = hashlib.sha1(one.text.encode(errors="surrogatepass")).digest() + one.start[:1].tobytes()
-            if digest[:20] in seen or digest in seen:
-                continue
-            seen.add(digest)
-            layers += 1
-            cut_layers += cut
-            work.append(one)
+            every.update((*layer.span(a, b), kind) for a, b, kind in plain_spans(layer.text))
+        for one, cut in _base64(layer, most):
+            if isinstance(one, Stream):
+                cut_layers += cut
+                work.append(one)
+            else:
+                add(one)
+        for one in (_percent(layer), _escapes(layer)):
+            if one is not None:
+                add(one)
     return base, every, layers, cut_layers
 
 

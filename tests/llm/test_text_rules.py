@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import re
+import tracemalloc
 import zlib
 from urllib.parse import quote
 
@@ -146,3 +148,39 @@ def test_bytes_that_are_no_text_split_layers():
     for raw in (b"caf\xe9 \x00 " + SECRET.encode() + b"\xff\x00", b"\xff" * 99 + SECRET.encode() + b"\xc3"):
         for shown in (raw, gzip.compress(raw)):
             assert secret_scan.scan(base64.b64encode(shown).decode())[1]
+
+
+RANDOM = "".join(hashlib.sha512(str(k).encode()).hexdigest()[1:31] + "." for k in range(5_000))
+LATE = f"{RANDOM} {SECRET} {RANDOM[:999]}"
+
+
+@pytest.mark.parametrize("inner", [
+    LATE,
+    f"{RANDOM} password{' ' * 300_000}= {SECRET[9:]}",
+    f"{RANDOM} {base64.b64encode(LATE.encode()).decode()}",
+    base64.encodebytes(gzip.compress(LATE.encode())).decode(),
+    quote(base64.b64encode(gzip.compress(LATE.encode())).decode()) + RANDOM,
+])
+def test_long_compressed_layers_are_scanned_whole(inner):
+    text = f"see {packed(inner)} end"
+    base, every, _, cut = secret_scan.scan(text, most=20_000)
+    assert base == [] and {kind for _, _, kind in every} == {0} and cut >= 1
+    assert secret_scan.redacted(text, every).strip("=") in ("see [REDACTED]= end", "see [REDACTED]== end", "see [REDACTED] end")
+
+
+def test_every_place_of_a_secret_in_pieces(monkeypatch):
+    monkeypatch.setattr(secret_scan, "OVERLAP", 100)
+    for k in range(0, 1000, 7):
+        assert secret_scan.scan(packed(f"{NOISE[:k]}{'.' * 1000} {SECRET}"), most=200)[1]
+
+
+def test_memory_does_not_grow_with_a_layer():
+    value = packed(f"{' .' * 8_000_000}{SECRET}")
+    tracemalloc.start()
+    assert secret_scan.scan(value)[1]
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+
+
+def test_random_base64_holds_nothing():
+    assert secret_scan.scan(base64.b64encode(bytes.fromhex(RANDOM.replace(".", ""))).decode())[1] == set()
