@@ -104,6 +104,54 @@ SELECT record_id, canonical_url, time, status, target_id, target_time,
 FROM judged
 """
 
+OP11 = r"""
+WITH judged AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS is_copy
+    FROM documents
+), masked AS (
+    SELECT doc_id, part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+        + 4 * CAST(100 * len(regexp_extract_all(body, '[A-Z]')) > 3 * length(body) AS INT)
+        + 8 * CAST(regexp_matches(body, '[#$%&*|]') AS INT) + 16 * CAST(is_copy AS INT) AS mask
+    FROM judged
+), known AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM masked LEFT JOIN known USING (doc_id) GROUP BY part, mask
+), letters AS (
+    SELECT chr(65 + i) AS l, 1 << i AS b FROM (SELECT CAST(unnest(range(5)) AS INT) AS i)
+), orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e WHERE (a.b | b.b | c.b | d.b | e.b) = 31
+), steps AS (
+    SELECT filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+        CAST(coalesce(list_sum([1 << (ascii(substr(filter_order, k, 1)) - 65) for k in range(1, step)]), 0) AS INT) AS before
+    FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)
+), counted AS (
+    SELECT part, filter_order, step, bit,
+        sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM cells, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_revisits": OP3, "op1_chat_format": OP1, "op8_quality_rules": OP8}
+    return {
+        "op3_warc_revisits": OP3,
+        "op1_chat_format": OP1,
+        "op8_quality_rules": OP8,
+        "op11_filter_audit": OP11,
+    }

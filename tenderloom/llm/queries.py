@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, quality, revisits, secret_scan, token_counts, toxicity, wavelet
+from . import bpe, chat, decontaminate, filter_audit, jaccard, quality, revisits, secret_scan, token_counts, toxicity
+from . import wavelet
 from .shared import shared_folder
 
 
@@ -138,6 +139,11 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from all documents, step by step in every order, for each language."""
+    return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -150,4 +156,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_secret_scan": op10_secret_scan,
+        "op11_filter_audit": op11_filter_audit,
     }
