@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, filter_audit, jaccard, quality, revisits, secret_scan, token_counts, toxicity
-from . import wavelet
+from . import wavelet, whitening
 from .shared import shared_folder
 
 
@@ -144,6 +144,11 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding along the four strongest components, whitened by the covariance of the different vectors."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -157,4 +162,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_secret_scan": op10_secret_scan,
         "op11_filter_audit": op11_filter_audit,
+        "op12_whitening": op12_whitening,
     }
