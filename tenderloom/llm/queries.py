@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, filter_audit, jaccard, quality, revisits, secret_scan, token_counts, toxicity
-from . import wavelet, whitening
+from . import bpe, chat, decontaminate, disclosure, filter_audit, jaccard, quality, revisits, secret_scan, token_counts
+from . import toxicity, wavelet, whitening
 from .shared import shared_folder
 
 
@@ -149,6 +149,13 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op13_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document, and the words that would give it away."""
+    found = disclosure.sanitise(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [f"n_{kind}" for kind in (*disclosure.KINDS, "generalised", "removed")]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -163,4 +170,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_scan": op10_secret_scan,
         "op11_filter_audit": op11_filter_audit,
         "op12_whitening": op12_whitening,
+        "op13_disclosure": op13_disclosure,
     }
