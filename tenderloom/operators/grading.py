@@ -75,9 +75,12 @@ def extraction_scorecard(truth: DataFrame, extractions: DataFrame) -> DataFrame:
     Accuracy is match / (match + mismatch), NULL if nothing could be graded. All fields are
     listed whatever the input; the overall figure pools their counts.
     """
+    return _scorecard(_paired(truth, extractions))
+
+
+def _scorecard(paired: DataFrame) -> DataFrame:
     counted = (
-        _paired(truth, extractions)
-        .select(*[_grade(field).alias(field) for field in GRADED_FIELDS])
+        paired.select(*[_grade(field).alias(field) for field in GRADED_FIELDS])
         .agg(
             *[
                 F.count_if(F.col(field) == grade).alias(f"{field}_{grade}")
@@ -104,18 +107,19 @@ def extraction_scorecard(truth: DataFrame, extractions: DataFrame) -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
-def readable_extractions(gradable: DataFrame, documents: DataFrame, extractions: DataFrame) -> DataFrame:
-    """Extractions of the tenders whose document (`document_uri`) has landed and is a PDF file.
+def feed_evaluation(gradable: DataFrame, documents: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Scorecard over gradable tenders, which have tender_id, document_uri and the truth; `documents` has uri and is_pdf.
 
-    `documents` has uri and is_pdf. What was read from anything else is not counted as read.
+    Scoring starts from the tenders, which are read once. One whose document is absent, empty or no PDF misses all its
+    fields: what was read from anything else is not counted as read.
     """
     landed = documents.where("is_pdf").select(F.col("uri").alias("document_uri")).distinct()
-    readable = gradable.join(landed, "document_uri").select("tender_id").distinct()
-    return extractions.join(readable, "tender_id", "left_semi")
-
-
-def feed_evaluation(gradable: DataFrame, documents: DataFrame, extractions: DataFrame) -> DataFrame:
-    """Scorecard over gradable tenders. Scoring starts from the tenders, so one whose document is absent,
-    empty or no PDF misses all its fields."""
-    truth = gradable.select("tender_id", F.col("estimated_value").alias("budget"), "cpv_primary", "deadline")
-    return extraction_scorecard(truth, readable_extractions(gradable, documents, extractions))
+    truth = gradable.select(
+        "tender_id", F.col("estimated_value").alias("budget"), "cpv_primary", "deadline", "document_uri"
+    ).join(landed.withColumn("readable", F.lit(True)), "document_uri", "left")
+    read = truth.alias("truth").join(
+        extractions.alias("got"),
+        (F.col("truth.tender_id") == F.col("got.tender_id")) & F.col("truth.readable"),
+        "left",
+    )
+    return _scorecard(read)

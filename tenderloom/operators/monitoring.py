@@ -55,6 +55,14 @@ def ingest_counts(batch: DataFrame, kinds: tuple[str, ...] = (AWARD, TENDER)) ->
     )
 
 
+def intake_counts(notices: DataFrame) -> DataFrame:
+    """How many notices have a publication number and are kept, and how many are set aside, from one pass."""
+    keyed = F.col("publication_number").isNotNull()
+    counted = notices.agg(F.count_if(keyed).alias("kept"), F.count_if(~keyed).alias("set_aside"))
+    rows = [F.struct(F.lit(state).alias("state"), F.col(state).alias("n")) for state in ("kept", "set_aside")]
+    return counted.select(F.inline(F.array(*rows)))
+
+
 def dataset_report(batch: DataFrame, links: DataFrame) -> DataFrame:
     """What an ingest run did: rows per kind, links, links per outcome, median lag.
 

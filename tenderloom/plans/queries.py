@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderloom.functions.outcomes import notice_kind
-from tenderloom.operators import backtest, cost, eligibility, grading, links, monitoring, search, tenders, upsert
-from tenderloom.operators.normalize import normalize_notices, require_keyed, split_unkeyed
+from tenderloom.operators import backtest, cost, eligibility, families, grading, links, monitoring, search, tenders, upsert
+from tenderloom.operators.normalize import normalize_notices, require_keyed
 from tenderloom.plans.dataset import apply_batch, select_window
 from tenderloom.session import shared_folder
 from tenderloom.sources import documents, notice_pages, sample, tender_feed
@@ -135,9 +135,7 @@ def _flat_tenders(parsed: DataFrame) -> DataFrame:
 
 
 def _parsed_from_text(spark: SparkSession, folder: str) -> DataFrame:
-    entries = sample.feed_entries(spark, folder)
-    read = entries.select(tender_feed.entry_from_text(F.col("entry")).alias("entry")).select("entry.*")
-    return tenders.parse_entries(read)
+    return tenders.parse_entries(tender_feed.read_entries(sample.feed_entries(spark, folder).select("entry")))
 
 
 def _scanned_entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,6 +180,12 @@ def _one_company(spark: SparkSession, folder: str) -> DataFrame:
     return _explained(verdicts)
 
 
+def _family_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return eligibility.check_families(
+        sample.tenders(spark, folder), sample.profiles(spark, folder), sample.requirements(spark, folder)
+    )
+
+
 def _truth(spark: SparkSession, folder: str) -> DataFrame:
     return grading.truth_fields(tenders.as_notices(sample.tenders(spark, folder)))
 
@@ -234,12 +238,7 @@ def _incremental(spark: SparkSession, folder: str) -> DataFrame:
 
 def _quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """How many hits of a window are taken in, and how many without a number are set aside."""
-    kept, aside = split_unkeyed(select_window(sample.unnumbered_hits(spark, folder), *WINDOW))
-    counted = [
-        rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("state"), "n")
-        for label, rows in (("kept", kept), ("set_aside", aside))
-    ]
-    return counted[0].unionByName(counted[1])
+    return monitoring.intake_counts(select_window(sample.unnumbered_hits(spark, folder), *WINDOW))
 
 
 def _search(spark: SparkSession, folder: str) -> DataFrame:
@@ -318,6 +317,12 @@ def queries() -> dict[str, Query]:
         "eligibility_reasons": lambda s, d: _explained(_verdicts(s, d)),
         "verdict_counts": lambda s, d: eligibility.verdict_counts(_verdicts(s, d)),
         "company_eligibility": _one_company,
+        "family_pairs": lambda s, d: families.family_pairs(sample.tenders(s, d), sample.profiles(s, d)),
+        "family_sizes": lambda s, d: _rounded(
+            families.family_sizes(sample.tenders(s, d), sample.profiles(s, d)), "budget"
+        ),
+        "family_verdicts": lambda s, d: _family_verdicts(s, d).select("tender_id", "company", "verdict"),
+        "family_verdict_counts": lambda s, d: eligibility.verdict_counts(_family_verdicts(s, d)),
     }
     scores = {
         "grade_extractions": _graded,

@@ -45,3 +45,13 @@ def stream_entries(spark: SparkSession, path: str, files_per_batch: int = 1000)
 def entry_from_text(text: Column) -> Column:
     """An entry held as text, for feeds that were landed as a table of entries."""
     return F.from_xml(text, FEED_ENTRY, {"ignoreNamespace": "true", "mode": "FAILFAST"})
+
+
+def read_entries(entries: DataFrame, text: str = "entry") -> DataFrame:
+    """The elements of entries that are held as text, for `parse_entries`; other columns are carried along.
+
+    Each entry is parsed once. The elements go through a generator, since a filter on them would else be moved below
+    the parse and parse the entry again for each element it names.
+    """
+    carried = [name for name in entries.columns if name != text]
+    return entries.select(*carried, F.inline(F.array(entry_from_text(F.col(text)))))

@@ -95,6 +95,14 @@ def test_scores_come_from_one_aggregation(spark, sample, stored):
     assert "rangepartitioning" not in summary
 
 
+def test_entries_and_hits_are_parsed_once(spark, sample):
+    optimized = lambda name: queries.queries()[name](spark, sample)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"from_xml|XmlToStructs", optimized("feed_scorecard"))) == 1
+    assert len(re.findall(r"from_xml|XmlToStructs", optimized("parse_tenders"))) == 1
+    # One parse of all fields; texts in other languages than the preferred ones are parsed apart.
+    assert optimized("ingest_quarantine").count("from_json") == 1
+
+
 def test_upsert_does_not_rank(spark, sample, stored):
     batch = upsert.latest_rows(tables.notice_corrections(spark, sample), "publication_number", "landed")
     assert "Window" not in plan(batch) and "partial_max" in plan(batch)
