@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenderloom.operators.touched import key_buckets, may_hold, rows_without
 from tenderloom.schemas import AWARD, PROCEDURE_LINKS, RESOLVED_OUTCOMES, TENDER, UNKNOWN
 from tenderloom.sources.tables import linkable
 
@@ -58,17 +59,23 @@ def _as_links(facts: DataFrame) -> DataFrame:
     ).select(*PROCEDURE_LINKS.names)
 
 
+def touched_links(notices: DataFrame, touched: DataFrame) -> DataFrame:
+    """The links of the procedures in `touched` (unique, not null). Notices of other procedures are dropped where they
+    are read, before anything is shuffled; those that are left are combined by procedure before their shuffle."""
+    near = may_hold(notices, key_buckets(touched, "procedure_id"), "procedure_id")
+    return link_procedures(near).join(touched.select("procedure_id"), "procedure_id")
+
+
 def relink(links: DataFrame, notices: DataFrame, touched: DataFrame) -> DataFrame:
     """`links` with the procedures in `touched` worked out again from `notices`.
 
-    `touched` must also list the former procedure of a notice that moved to another one. A
-    procedure that has lost its tender drops out. Notices are reduced to a row for each procedure
-    before they meet `touched`, so one with a large share of them is combined before the shuffle. (An inner
-    join with distinct keys: a semi join would be moved below the reduction.)
+    `touched` must also list the former procedure of a notice that moved to another one. A procedure that has lost its
+    tender drops out. Only links and notices that share a hash bucket with a touched procedure are shuffled. `touched` is
+    read several times and should be a stored table if it is dear to work out.
     """
     procedures = touched.select("procedure_id").where(F.col("procedure_id").isNotNull()).distinct()
-    kept = links.join(procedures, "procedure_id", "left_anti")
-    redone = link_procedures(notices).join(procedures, "procedure_id")
+    kept = rows_without(links, procedures, "procedure_id")
+    redone = touched_links(notices, procedures)
     return kept.select(*PROCEDURE_LINKS.names).unionByName(redone)
 
 

@@ -13,6 +13,7 @@ from tenderloom.operators.normalize import normalize_notices, require_keyed
 from tenderloom.plans.dataset import apply_batch, select_window
 from tenderloom.session import shared_folder
 from tenderloom.sources import documents, notice_pages, sample, tender_feed
+from tenderloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -236,6 +237,19 @@ def _incremental(spark: SparkSession, folder: str) -> DataFrame:
     return apply_batch(before, linked, sample.second_landing(spark, folder))[1]
 
 
+def _ingested(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and their tender notices after two batches have been stored, the second of them twice, as after the loss
+    of a driver."""
+    root = shared_folder(spark, "ingested")
+    ingest.store_notices(root, sample.notices(spark, folder).withColumn("landed", F.lit(0)), 0)
+    for _ in range(2):
+        ingest.store_notices(root, sample.second_landing(spark, folder), 1)
+    notice = ingest.notices_table(root).read(spark).withColumnRenamed("publication_number", "tender_pub")
+    return ingest.links_table(root).read(spark).join(
+        notice.select("tender_pub", "title", "estimated_value"), "tender_pub"
+    )
+
+
 def _quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """How many hits of a window are taken in, and how many without a number are set aside."""
     return monitoring.intake_counts(select_window(sample.unnumbered_hits(spark, folder), *WINDOW))
@@ -352,6 +366,7 @@ def queries() -> dict[str, Query]:
         "ingest_window": _window,
         "ingest_quarantine": _quarantine,
         "incremental_dataset": _incremental,
+        "ingested_links": _ingested,
         **from_tenders,
         **decisions,
         **scores,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Row- and plan-level defaults that the jobs are written for. Partition counts are left to
 # the cluster: adaptive execution coalesces small shuffles and splits skewed ones.
@@ -33,3 +33,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below `spark.checkpoint.dir`, or else below the warehouse; all executors share both."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tenderloom/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """The same rows read from files in a fresh shared folder, for what is needed in several places."""
+    folder = shared_folder(frame.sparkSession, purpose)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)

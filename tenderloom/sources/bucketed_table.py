@@ -1,0 +1,99 @@
+"""A Parquet table with insert-or-replace by key, for storage without a MERGE-capable table format.
+
+Rows lie in folders by a hash of their key. A batch joins the folders that it touches, and those are replaced by a
+dynamic partition overwrite; the others are neither read nor written.
+
+Replacing folders takes Spark several steps, and a driver may be lost between them. What a batch will write is therefore
+written beside the table first, and a batch that is run again writes the same rows again instead of working them out from
+a table that is half replaced. Readers that work while a batch is stored may see some of its folders old and some new.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tenderloom.operators.touched import hash_bucket
+from tenderloom.operators.upsert import latest_rows
+from tenderloom.sources.tables import read_or_empty
+
+_REMOVED, _BUCKET = "removed", "bucket"
+_DONE = T.StructType([T.StructField("version", T.LongType())])
+
+
+@dataclass(frozen=True)
+class Steps:
+    """Results of the steps of one version, kept below `path` so that a second run finds those of the first.
+
+    Two versions are kept in turn. A result counts when the mark written after it names its version."""
+
+    path: str
+    version: int
+
+    def keep(self, spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The kept rows of a step; made and written if this version has not got that far."""
+        folder = f"{self.path}/_steps/{name}-{self.version % 2}"
+        if read_or_empty(spark, f"{folder}-done", _DONE).where(F.col("version") == self.version).isEmpty():
+            make().write.mode("overwrite").parquet(folder)
+            spark.createDataFrame([(self.version,)], _DONE).coalesce(1).write.mode("overwrite").parquet(f"{folder}-done")
+        return spark.read.parquet(folder)
+
+
+@dataclass(frozen=True)
+class BucketedTable:
+    """`buckets` belongs to the table: a bucket should hold what a few tasks can rewrite, and it cannot be changed."""
+
+    path: str
+    key: str
+    schema: T.StructType
+    buckets: int = 64
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The current rows, one for each key."""
+        return self._stored(spark).where(F.col(self.key).isNotNull()).select(*self.schema.names)
+
+    def changes(self, batch: DataFrame, order: str) -> DataFrame:
+        """The last row of each key of a batch by `order`, for `replace`."""
+        return latest_rows(batch.select(*self.schema.names, order), self.key, order).withColumn(_REMOVED, F.lit(False))
+
+    def upsert(self, batch: DataFrame, order: str, version: int) -> None:
+        """Store a batch under its number. The last row of a key by `order` wins and replaces the whole row. A batch
+        may be run again, as long as no later one has been."""
+        spark = batch.sparkSession
+        self.replace(Steps(self.path, version).keep(spark, "changes", lambda: self.changes(batch, order)), version)
+
+    def replace(self, changes: DataFrame, version: int) -> None:
+        """Store rows that are unique by key; those with `removed` set take their key out. `changes` is read more than
+        once and should be a stored table."""
+        spark = changes.sparkSession
+        rows = changes.where(F.col(self.key).isNotNull()).withColumn(_BUCKET, self._bucket())
+        touched = [row[0] for row in rows.select(_BUCKET).distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        merged = Steps(self.path, version).keep(spark, "merged", lambda: self._merged(spark, rows, touched))
+        # Folders by bucket; a large one is divided among tasks by its size.
+        merged.hint("rebalance", F.col(_BUCKET)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            _BUCKET
+        ).parquet(self.path)
+
+    def _bucket(self):
+        return hash_bucket(F.col(self.key), self.buckets).cast("int")
+
+    def _stored(self, spark: SparkSession) -> DataFrame:
+        return read_or_empty(spark, self.path, self._layout())
+
+    def _layout(self) -> T.StructType:
+        return T.StructType([*self.schema.fields, T.StructField(_BUCKET, T.IntegerType())])
+
+    def _merged(self, spark: SparkSession, rows: DataFrame, touched: list[int]) -> DataFrame:
+        """All rows of the touched buckets after the change. Each bucket also gets a row without a key: a folder that
+        nothing is written to would not be replaced, and keep the rows that were taken out."""
+        before = self._stored(spark).where(F.col(_BUCKET).isin(touched) & F.col(self.key).isNotNull())
+        kept = before.join(rows.select(_BUCKET, self.key), [_BUCKET, self.key], "left_anti")
+        marks = spark.createDataFrame([(None,) * len(self.schema) + (bucket,) for bucket in touched], self._layout())
+        names = self._layout().names
+        return kept.select(*names).unionByName(rows.where(~F.col(_REMOVED)).select(*names)).unionByName(marks)

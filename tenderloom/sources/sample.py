@@ -588,15 +588,35 @@ def notice_corrections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def second_landing(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole tender notices that are published again, twice: later, and under other procedures."""
-    first = tender_notices(spark, folder).withColumn("key", F.substring("publication_number", 3, 20).cast("bigint"))
-    again = first.where("key % 10 = 3").withColumn("landed", F.explode(F.array(F.lit(1), F.lit(2))))
-    return again.select(
-        *[F.col(name) for name in NOTICES.names if name not in ("procedure_id", "publication_date")],
-        _text("P-", F.col("key") + F.col("landed")).alias("procedure_id"),
-        F.date_add("publication_date", F.col("landed") * 5).alias("publication_date"),
-        "landed",
-    ).select(*NOTICES.names, "landed")
+    """Whole notices that are published again because something was wrong with them.
+
+    Tender notices dated on a weekend move to the day after, and in a second copy to Monday; those without a procedure
+    get one; those without a value belong to the next procedure. Awards that nobody won are published a week later, for
+    the next procedure.
+    """
+    key = F.regexp_extract("publication_number", r"^.-(\d+)", 1).cast("bigint")
+    date, procedure = F.col("publication_date"), F.col("procedure_id")
+
+    def again(first: DataFrame, landed: Column, new_date: Column, new_procedure: Column) -> DataFrame:
+        changed = {"publication_date": new_date, "procedure_id": new_procedure}
+        copies = first.withColumn("landed", landed).withColumns(changed)
+        return copies.withColumn("is_eforms", procedure.isNotNull()).select(*NOTICES.names, "landed")
+
+    day = F.weekday("publication_date")
+    no_value = F.col("estimated_value").isNull()
+    tenders_again = again(
+        tender_notices(spark, folder).where((day >= 5) | procedure.isNull() | no_value),
+        F.explode(F.array(F.lit(1), F.lit(2))),
+        F.when(day < 5, date).when(F.col("landed") == 1, F.date_add(date, 1)).otherwise(F.date_add(date, 7 - day)),
+        F.when(no_value, _text("P-", key + 1)).otherwise(F.coalesce(procedure, _text("P-", key))),
+    )
+    awards_again = again(
+        award_notices(spark, folder).where(F.col("award_outcome") == DESIERTO),
+        F.lit(3),
+        F.date_add(date, 7),
+        _text("P-", key + 1),
+    )
+    return tenders_again.unionByName(awards_again)
 
 
 def tender_corrections(spark: SparkSession, folder: str) -> DataFrame:

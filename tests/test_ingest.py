@@ -1,7 +1,8 @@
-"""Landed pages, the keyed table, incremental ingestion and the dataset build."""
+"""Landed pages, the bucketed table, incremental ingestion and the dataset build."""
 
 from __future__ import annotations
 
+import datetime
 import json
 import os
 import time
@@ -15,8 +16,8 @@ from tenderloom.plans.dataset import build_dataset, resume_date
 from tenderloom.plans.views import register_dataset, register_ingested
 from tenderloom.schemas import NOTICES
 from tenderloom.sources.notice_pages import scan_pages
+from tenderloom.sources.bucketed_table import BucketedTable, Steps
 from tenderloom.streaming import ingest
-from tenderloom.streaming.keyed_table import KeyedTable
 
 
 def hit(number, kind="cn-standard", procedure="P1", date="2025-01-01+01:00", **more):
@@ -66,8 +67,12 @@ def test_broken_page_fails(spark, tmp_path):
 KEYED = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.IntegerType())])
 
 
-def test_keyed_table(spark, tmp_path):
-    table = KeyedTable(str(tmp_path / "t"), "k", KEYED)
+def folders(path):
+    return {name: os.stat(os.path.join(path, name)).st_mtime_ns for name in os.listdir(path) if name.startswith("bucket=")}
+
+
+def test_bucketed_table(spark, tmp_path):
+    table = BucketedTable(str(tmp_path / "t"), "k", KEYED, 4)
 
     def batch(*rows):
         return spark.createDataFrame(rows, "k string, v int, seq int")
@@ -76,22 +81,53 @@ def test_keyed_table(spark, tmp_path):
         return sorted(map(tuple, table.read(spark).collect()))
 
     assert state() == []
-    table.write_batch(batch(("a", 1, 1), ("b", 1, 1), ("a", 2, 2)), 0, "seq")
+    table.upsert(batch(), "seq", 0)
+    table.upsert(batch(("a", 1, 1), ("b", 1, 1), ("a", 2, 2), (None, 9, 9)), "seq", 1)
     assert state() == [("a", 2), ("b", 1)]
-    table.write_batch(batch(("a", 3, 0), ("c", 3, 0)), 1, "seq")
-    assert state() == [("a", 3), ("b", 1), ("c", 3)]
-    table.write_batch(batch(("a", 3, 0), ("c", 3, 0)), 1, "seq")
-    assert state() == [("a", 3), ("b", 1), ("c", 3)]
-    assert sorted(map(tuple, table.read_before(spark, 1).collect())) == [("a", 2), ("b", 1)]
-    table.fold(spark, 1)
-    assert state() == [("a", 3), ("b", 1), ("c", 3)]
-    table.write_changes(spark.createDataFrame([("b", None, True), ("d", 4, False)], "k string, v int, removed boolean"), 2)
-    assert state() == [("a", 3), ("c", 3), ("d", 4)]
-    table.fold(spark, 2)
-    assert state() == [("a", 3), ("c", 3), ("d", 4)]
-    # a batch that was never finished is not read
-    os.makedirs(tmp_path / "t" / "batch" / "3")
+    for _ in range(2):  # a batch may be run again
+        table.upsert(batch(("a", 3, 0), ("c", 3, 0)), "seq", 2)
+        assert state() == [("a", 3), ("b", 1), ("c", 3)]
+    change = spark.createDataFrame([("b", None, True), ("d", 4, False)], "k string, v int, removed boolean")
+    table.replace(change, 3)
     assert state() == [("a", 3), ("c", 3), ("d", 4)]
+    # The last row of a bucket can be taken out too.
+    gone = spark.createDataFrame([(k, None, True) for k in "acd"], "k string, v int, removed boolean")
+    table.replace(gone, 4)
+    assert state() == []
+
+
+def test_only_touched_buckets_are_read_and_written(spark, tmp_path):
+    table = BucketedTable(str(tmp_path / "t"), "k", KEYED, 16)
+    rows = [(f"k{n}", n, n) for n in range(400)]
+    table.upsert(spark.createDataFrame(rows, "k string, v int, seq int"), "seq", 0)
+    before = folders(tmp_path / "t")
+    table.upsert(spark.createDataFrame([("k7", -1, 1)], "k string, v int, seq int"), "seq", 1)
+    after = folders(tmp_path / "t")
+    assert len(before) == 16 and sum(after[name] != stamp for name, stamp in before.items()) == 1
+    found = dict(map(tuple, table.read(spark).collect()))
+    assert found == {k: v for k, v, _ in rows} | {"k7": -1}
+
+
+def test_a_batch_that_broke_off_is_finished_from_its_steps(spark, tmp_path):
+    root = str(tmp_path / "out")
+
+    def landed(*rows):
+        fields = [dict.fromkeys(NOTICES.names) | dict(zip(("publication_number", "kind", "procedure_id"), row)) for row in rows]
+        dated = [tuple((f | {"publication_date": datetime.date(2025, 1, 1)}).values()) + (k,) for k, f in enumerate(fields)]
+        return spark.createDataFrame(dated, T.StructType([*NOTICES.fields, T.StructField("landed", T.IntegerType())]))
+
+    ingest.store_notices(root, landed(("T1", "tender", "P1"), ("T2", "tender", "P2")), 0)
+    moved = landed(("T1", "tender", "P3"))
+    ingest.store_notices(root, moved, 1, keep_links=False)  # lost before the links were refreshed
+    ingest.store_notices(root, moved, 1)
+    links = {r.procedure_id: r.tender_pub for r in ingest.links_table(root).read(spark).collect()}
+    assert links == {"P2": "T2", "P3": "T1"}
+    # Of a step without its mark nothing is taken over.
+    steps = Steps(str(tmp_path / "s"), 6)
+    spark.range(3).write.parquet(f"{tmp_path}/s/_steps/x-0")
+    assert steps.keep(spark, "x", lambda: spark.range(5)).count() == 5
+    assert steps.keep(spark, "x", lambda: spark.range(7)).count() == 5
+    assert Steps(str(tmp_path / "s"), 8).keep(spark, "x", lambda: spark.range(7)).count() == 7
 
 
 def run(query):

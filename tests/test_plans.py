@@ -45,14 +45,21 @@ def test_links_read_six_columns_and_shuffle_once(stored):
     assert text.count("Exchange") == 1 and "Join" not in text
 
 
-def test_relink_reduces_notices_before_the_shuffle(spark, stored):
+def test_relink_shuffles_only_what_is_touched(spark, stored):
     linked = links.link_procedures(stored[0])
-    touched = stored[0].where("cpv_primary = '45000000'").select("procedure_id")
-    redone = plan(links.relink(linked, stored[0], touched))
-    for part in redone.split("ObjectHashAggregate(") + redone.split("SortAggregate("):
-        if "award_outcome" in part and "partial_" in part.split("\n")[0]:
-            assert "Exchange" not in part.split("FileScan")[0].replace("BroadcastExchange", "") or "LeftSemi" not in part
-    assert "LeftSemi" not in redone and "partial_max" in redone
+    touched = stored[0].where("cpv_primary = '45000000'").select("procedure_id").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(links.touched_links(stored[0], touched))
+        whole = plan(links.relink(linked, stored[0], touched))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Below the shuffle of the reduced notices: partial reduction, then the broadcast of buckets, then the scan.
+    reduced = text[text.index("partial_max") :]
+    below = reduced[: reduced.index("FileScan")]
+    assert "BroadcastHashJoin" in below and "LeftSemi" in below and "Exchange hashpartitioning" not in below
+    assert "award_outcome" in reduced.split("FileScan")[1].split("\n")[0]
+    assert "LeftAnti, BuildRight" in whole and "BroadcastHashJoin" in whole
 
 
 def test_no_job_runs_while_bids_are_planned(spark, sample, stored):
