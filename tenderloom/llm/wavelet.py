@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .arrow_text import slices, small_batches, text_bytes, totals
-from .pieces import PieceTable, library_encoder, piece_starts
+from .pieces import PieceTable, joined_encoder, piece_starts
 from .shared import written
 
 MAGIC = b"WAVEMAT1"
@@ -189,7 +189,7 @@ class Shard:
 
 class Encoder:
     def __init__(self, name: str):
-        self.table = PieceTable(library_encoder(Tokenizer.from_file(public_tokenizers.path(name))))
+        self.table = PieceTable(joined_encoder(Tokenizer.from_file(public_tokenizers.path(name)), b"<"))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and how many each has."""
