@@ -8,8 +8,9 @@ of pairs; the forest's components are the classes.
 
 Words are lower-cased runs of characters other than blank, tab and line ends. A text of one to four words is one shingle.
 A text without words (null too) is like no other: it is a class of its own, as is every row without an id, whose
-class is null. Rows with the same id count as copies if their texts agree, and share a class if they do not. Shingles
-are compared by 64-bit hashes, sets by 128 bits. Other columns are kept; columns with the name of a result are replaced.
+class is null. Rows with the same id count as copies if their sets agree; texts under one id that are unlike are in classes
+of their own, each named by the least id in it. Shingles are compared by 64-bit hashes, sets by 128 bits, and the text of
+a set is found by its id and SHA-256. Other columns of documents do no harm, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import list_array, slices, small_batches
@@ -65,7 +66,7 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, the set's key (high, low), n_shingles and a hash for each band."""
+    """doc_id, digest, the set's key (high, low), n_shingles and a hash for each band."""
     flip, factor = _seeds(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +92,20 @@ def signatures(docs: DataFrame, text: str, size: int, bands: int, rows: int) ->
                 found = mixed(found + np.arange(bands, dtype=np.uint64) * MIX).view(np.int64)
                 lists = list_array(found.ravel(), np.arange(n + 1) * bands, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(k.view(np.int64)) for k in keys), pa.array(distinct), lists],
-                    ["doc_id", "high", "low", "n_shingles", "bands"],
+                    [part.column(0), part.column(2), *(pa.array(k.view(np.int64)) for k in keys), pa.array(distinct), lists],
+                    ["doc_id", "digest", "high", "low", "n_shingles", "bands"],
                 )
 
-    rows_of = small_batches(docs).select(F.col("doc_id").cast("long"), F.col(f"`{text}`").alias("text"))
-    return rows_of.mapInArrow(run, "doc_id long, high long, low long, n_shingles long, bands array<long>")
+    body = F.col(f"`{text}`").alias("text")
+    rows_of = small_batches(docs).select(F.col("doc_id").cast("long"), body, text_digest(text).alias("digest"))
+    return rows_of.mapInArrow(
+        run, "doc_id long, digest binary, high long, low long, n_shingles long, bands array<long>"
+    )
+
+
+def text_digest(text: str) -> Column:
+    """Tells the texts of one id apart; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -204,7 +213,7 @@ def links_within(nodes: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(run, "node long, n_set_links long, n_doc_links long, other long")
 
 
-def near_duplicates(
+def document_classes(
     docs: DataFrame,
     text: str = "text",
     size: int = 5,
@@ -213,18 +222,21 @@ def near_duplicates(
     block_nodes: int = 512,
     block_shingles: int = 1 << 20,
 ) -> DataFrame:
-    """Adds to each row class_id (the least id of its class), n_links (other documents that are near it) and n_set_links
-    (other shingle sets that are). `docs` has a column doc_id."""
+    """doc_id and digest of each row, with class_id (the least id of its class), class_digest (of the text under that id
+    that stands for the class), n_links and n_set_links."""
     bands, rows = choose_bands(threshold, recall)
     signed = written(signatures(docs, text, size, bands, rows), "signatures")
     full = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
+    # A set is a node of its own, also where several have the same least id. The numbers are fixed once they are written.
     sets = written(
-        full.groupBy("high", "low").agg(
-            F.min("doc_id").alias("node"),
+        full.groupBy("high", "low")
+        .agg(
+            F.min(F.struct("doc_id", "digest")).alias("least"),
             F.count("*").alias("n_docs"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
-        ),
+        )
+        .withColumn("node", F.monotonically_increasing_id()),
         "sets",
     )
 
@@ -236,47 +248,64 @@ def near_duplicates(
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
 
     # Large groups are cut into blocks; every pair of blocks is a unit of work.
-    known = written(groups.join(sets.select("node", "n_docs", "n_shingles"), "node"), "nodes")
+    named = sets.select("node", "n_docs", "n_shingles", "least.doc_id", "least.digest")
+    known = written(groups.join(named, "node"), "nodes")
     weight = F.greatest(F.count("*") / block_nodes, F.sum("n_shingles") / block_shingles)
     parts = written(known.groupBy("root").agg(F.ceil(weight).cast("int").alias("parts")), "parts")
     placed = known.join(parts, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(f"`{text}`").alias("text"))
-    held = shingle_sets(texts.join(placed.select("node", "root", "n_docs", "parts", "block"), "node"), size)
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_digest(text).alias("digest"), F.col(f"`{text}`").alias("text")
+    )
+    found = texts.join(placed.drop("n_shingles"), ["doc_id", "digest"]).drop("doc_id", "digest")
+    held = shingle_sets(found, size)
     pairs = held.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
     links = written(links_within(pairs, threshold), "links")
 
     counts = links.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n_set_links", "n_doc_links")])
     classes = components(links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    of_sets = (
-        sets.select("high", "low", "node", "n_docs")
+    of_sets = written(
+        sets.select("high", "low", "least", "node", "n_docs")
         .join(counts, "node", "left")
         .join(classes, "node", "left")
         .select(
             "high",
             "low",
-            F.coalesce("root", "node").alias("class_id"),
+            "least",
+            F.coalesce("root", "node").alias("root"),
             (F.col("n_docs") - 1 + F.coalesce("n_doc_links", F.lit(0))).alias("n_links"),
             F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"),
-        )
+        ),
+        "classes",
     )
-    of_sets = written(of_sets, "classes")
+    first = of_sets.groupBy("root").agg(F.min("least").alias("of_class"))
+    of_sets = of_sets.join(first, "root").select(
+        "high", "low", F.col("of_class.doc_id").alias("class_id"), F.col("of_class.digest").alias("class_digest"),
+        "n_links", "n_set_links",
+    )
+    none = F.lit(0).cast("long")
     alone = signed.where("doc_id IS NULL OR n_shingles = 0").select(
-        "doc_id", "high", "low", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
-        F.lit(0).cast("long").alias("n_set_links"),
+        "doc_id", "digest", F.col("doc_id").alias("class_id"), F.col("digest").alias("class_digest"),
+        none.alias("n_links"), none.alias("n_set_links"),
     )
-    found = full.select("doc_id", "high", "low").join(of_sets, ["high", "low"]).unionByName(alone)
-    return found.select("doc_id", "class_id", "n_links", "n_set_links")
+    found = full.select("doc_id", "digest", "high", "low").join(of_sets, ["high", "low"]).drop("high", "low")
+    return found.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """For each row doc_id, class_id (the least id of its class), n_links (other documents that are near it) and
+    n_set_links (other shingle sets that are). `docs` has a column doc_id; options are those of `document_classes`."""
+    return document_classes(docs, text, **options).select("doc_id", "class_id", "n_links", "n_set_links")
 
 
 def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """One row of each class, that of its least id (with several texts for that id, of the least text). Rows without
-    an id all stay. The columns are those of `docs`."""
-    classes = near_duplicates(docs, text, **options)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
+    """One row of each class: a row with its least id and the text that stands for it. Rows without an id all stay. The
+    columns are those of `docs`."""
+    classes = document_classes(docs, text, **options)
+    kept = classes.select(F.col("class_id").alias("doc_id"), F.col("class_digest").alias("__digest")).distinct()
     others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    body = F.col(f"`{text}`")
-    # Reduced before the shuffle, so that repeated rows of one id do not meet in one task.
-    one = F.min_by(F.struct(*others), F.struct(F.coalesce(body, F.lit("")), body.isNull())).alias("row")
-    rows = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(one).join(kept, "doc_id", "left_semi")
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("__digest", text_digest(text))
+    # Reduced before the shuffle, so that repeated rows do not meet in one task. Null and empty texts have one digest.
+    one = F.min_by(F.struct(*others), F.col(f"`{text}`").isNull()).alias("row")
+    rows = keyed.groupBy("doc_id", "__digest").agg(one).join(kept, ["doc_id", "__digest"], "left_semi")
     return rows.select("doc_id", "row.*").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -56,3 +56,10 @@ def test_stages_stand_odd_rows_and_empty_tables(spark, odd_docs, no_docs, tmp_pa
             after = stage(spark, docs, f"file://{tmp_path}")
             assert after.columns == docs.columns and after.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, f"file://{tmp_path}").count() == docs.count()
+
+
+def test_quality_stage_measures_once(spark, sample):
+    docs = spark.read.parquet(f"{sample}/documents.parquet")
+    stage = corpus_pipeline.quality_rules(spark, docs, sample)._jdf.queryExecution().optimizedPlan().toString()
+    alone = queries.op8_quality_rules(spark, sample)._jdf.queryExecution().optimizedPlan().toString()
+    assert stage.count("split(") == alone.count("split(") and stage.count("xxhash64(") == alone.count("xxhash64(")

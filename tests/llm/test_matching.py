@@ -79,6 +79,24 @@ def test_odd_rows_of_near_duplicates(odd_docs, no_docs):
     assert jaccard.near_duplicates(no_docs).collect() == [] and jaccard.keep_one(no_docs).collect() == []
 
 
+def test_unlike_texts_under_one_id_lose_no_link_and_no_row(spark):
+    draw = random.Random(8)
+    text = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c = text(120), text(120), text(30)
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, c), (1, c + " q"), (5, a), (1, a), (6, ""), (6, " "), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(docs).collect())
+    # All rows compared with all others, rows being documents.
+    of_row = plain_classes(list(enumerate(t for _, t in rows)))
+    ids = {}
+    for k, (name, _) in of_row.items():
+        ids[name] = min(ids.get(name, 99), rows[k][0])
+    assert found == sorted((rows[k][0], ids[name], n) for k, (name, n) in of_row.items())
+    kept = jaccard.keep_one(docs).collect()
+    assert len(kept) == 5 and {r["doc_id"] for r in kept} == {1, 6}
+    assert {r["text"] for r in kept if r["doc_id"] == 1} == {a, b, c + " q"}
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9995), (0.5, 0.9), (0.9, 0.99)):
         bands, rows = jaccard.choose_bands(threshold, recall)
