@@ -15,7 +15,9 @@ from tenderloom.llm.shared import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no rule."""
-    return quality.score_quality(docs).where("kept").select(docs.columns)
+    # Through a generator: a filter on the verdict would else be moved below the measures, and measure again for each.
+    verdict = F.inline(F.array(F.struct(F.col("kept").alias("__kept"))))
+    return quality.score_quality(docs).select("*", verdict).where("__kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
