@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderloom.schemas import AWARD, NOTICE_KINDS, RESOLVED_OUTCOMES, TENDER, UNKNOWN
@@ -63,14 +63,34 @@ def intake_counts(notices: DataFrame) -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
-def dataset_report(batch: DataFrame, links: DataFrame) -> DataFrame:
-    """What an ingest run did: rows per kind, links, links per outcome, median lag.
+def batch_metrics() -> list[Column]:
+    """What an ingest run notes about the hits that it writes: rows and latest date of each kind, rows without a number."""
+    keyed = F.col("publication_number").isNotNull()
+    of_kind = {kind: keyed & (F.col("kind") == kind) for kind in (TENDER, AWARD)}
+    return [
+        *[F.count_if(chosen).alias(f"{kind}_rows") for kind, chosen in of_kind.items()],
+        *[F.max(F.when(chosen, F.col("publication_date"))).alias(f"{kind}_latest") for kind, chosen in of_kind.items()],
+        F.count_if(~keyed).alias("unkeyed"),
+    ]
 
-    The links are read once: everything about them follows from their number per outcome and lag.
-    """
+
+def metrics_report(spark: SparkSession, metrics: dict[str, object]) -> DataFrame:
+    """The part of the run report that follows from the metrics of `batch_metrics`."""
+    rows = [("ingested", kind, float(metrics[f"{kind}_rows"])) for kind in (AWARD, TENDER)]
+    return spark.createDataFrame(rows, "measure string, label string, value double")
+
+
+def dataset_report(batch: DataFrame, links: DataFrame) -> DataFrame:
+    """What an ingest run did: rows per kind, links, links per outcome, median lag."""
     ingested = ingest_counts(batch).select(
         F.lit("ingested").alias("measure"), F.col("kind").alias("label"), F.col("n").cast("double").alias("value")
     )
+    return ingested.unionByName(links_report(links))
+
+
+def links_report(links: DataFrame) -> DataFrame:
+    """Links, links per outcome, and the median lag. The links are read once: all of it follows from their number per
+    outcome and lag."""
     histogram = links.groupBy("outcome", "lag_days").agg(F.count(F.lit(1)).alias("n"))
     outcomes = (*RESOLVED_OUTCOMES, UNKNOWN)
     totals = histogram.agg(
@@ -84,4 +104,4 @@ def dataset_report(batch: DataFrame, links: DataFrame) -> DataFrame:
         _report("median_lag_days", F.lit("all"), F.col("lag")),
     ]
     listed = totals.select(F.inline(F.array(*rows)))
-    return ingested.unionByName(listed.where("measure <> 'outcome' OR value IS NOT NULL"))
+    return listed.where("measure <> 'outcome' OR value IS NOT NULL")

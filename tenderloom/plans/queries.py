@@ -11,8 +11,9 @@ from tenderloom.functions.outcomes import notice_kind
 from tenderloom.operators import backtest, cost, eligibility, families, grading, links, monitoring, search, tenders, upsert
 from tenderloom.operators.normalize import normalize_notices, require_keyed
 from tenderloom.plans.dataset import apply_batch, select_window
+from tenderloom.schemas import TENDER
 from tenderloom.session import shared_folder
-from tenderloom.sources import documents, notice_pages, sample, tender_feed
+from tenderloom.sources import documents, folder_table, notice_pages, sample, tender_feed
 from tenderloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,6 +251,14 @@ def _ingested(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _monthly(spark: SparkSession, folder: str) -> DataFrame:
+    """Tender notices in folders by kind and month, after some of them moved to another day."""
+    table = folder_table.monthly_notices(shared_folder(spark, "monthly"))
+    table.upsert(sample.tender_notices(spark, folder).withColumn("landed", F.lit(0)), "landed", 0)
+    table.upsert(sample.second_landing(spark, folder).where(F.col("kind") == TENDER), "landed", 1)
+    return table.read(spark).select("publication_number", "procedure_id", "publication_date", "estimated_value")
+
+
 def _quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """How many hits of a window are taken in, and how many without a number are set aside."""
     return monitoring.intake_counts(select_window(sample.unnumbered_hits(spark, folder), *WINDOW))
@@ -367,6 +376,7 @@ def queries() -> dict[str, Query]:
         "ingest_quarantine": _quarantine,
         "incremental_dataset": _incremental,
         "ingested_links": _ingested,
+        "monthly_notices": _monthly,
         **from_tenders,
         **decisions,
         **scores,

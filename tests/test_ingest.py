@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenderloom.operators.normalize import normalize_notices, require_keyed
-from tenderloom.plans.dataset import build_dataset, resume_date
+from tenderloom.plans.dataset import build_dataset, resume_date, update_dataset
 from tenderloom.plans.views import register_dataset, register_ingested
-from tenderloom.schemas import NOTICES
+from tenderloom.schemas import NOTICES, PROCEDURE_LINKS
 from tenderloom.sources.notice_pages import scan_pages
-from tenderloom.sources.bucketed_table import BucketedTable, Steps
+from tenderloom.sources.folder_table import Steps, bucketed_table, monthly_notices
 from tenderloom.streaming import ingest
 
 
@@ -72,7 +72,7 @@ def folders(path):
 
 
 def test_bucketed_table(spark, tmp_path):
-    table = BucketedTable(str(tmp_path / "t"), "k", KEYED, 4)
+    table = bucketed_table(str(tmp_path / "t"), "k", KEYED, 4)
 
     def batch(*rows):
         return spark.createDataFrame(rows, "k string, v int, seq int")
@@ -97,7 +97,7 @@ def test_bucketed_table(spark, tmp_path):
 
 
 def test_only_touched_buckets_are_read_and_written(spark, tmp_path):
-    table = BucketedTable(str(tmp_path / "t"), "k", KEYED, 16)
+    table = bucketed_table(str(tmp_path / "t"), "k", KEYED, 16)
     rows = [(f"k{n}", n, n) for n in range(400)]
     table.upsert(spark.createDataFrame(rows, "k string, v int, seq int"), "seq", 0)
     before = folders(tmp_path / "t")
@@ -239,6 +239,55 @@ def test_dataset_build(spark, tmp_path):
     assert resume_date(stored.where(F.lit(False))) is None
 
 
+def test_a_day_rewrites_only_its_months(spark, tmp_path):
+    landing, root = str(tmp_path / "in"), str(tmp_path / "set")
+    days = [f"2025-{month:02d}-{day:02d}" for month in range(1, 7) for day in (3, 20)]
+    first = [hit(f"T{k}", date=f"{day}+01:00", procedure=f"P{k}") for k, day in enumerate(days)]
+    award = hit("W1", "can-standard", "P1", "2025-04-09", winner_selection_status=["selec-w"])
+    land(landing, "1.json", *first, award, age=300)
+
+    def stamps():
+        found = {}
+        for folder, _, names in os.walk(os.path.join(root, "notices")):
+            if "month=" in folder and "_steps" not in folder:
+                found[os.path.relpath(folder, root)] = sorted(names)
+        return found
+
+    def update(version):
+        report = update_dataset(spark, landing, root, version, "2025-01-01", "2025-12-31")
+        return {(r.measure, r.label): r.value for r in report.collect()}
+
+    assert update(0)[("linked", "all")] == 12.0
+    before = stamps()
+    assert len(before) == 7 and "notices/kind=award/month=2025-04" in before
+
+    # One notice of January moves to June, one of March is corrected, and an award arrives.
+    os.remove(os.path.join(landing, "1.json"))
+    land(landing, "2.json", hit("T0", date="2025-06-05+01:00", procedure="P0"), hit("T4", date="2025-03-03", procedure="P9"),
+         hit("W9", "can-standard", "P9", "2025-04-30", winner_selection_status=["clos-nw"]))
+    for _ in range(2):
+        report = update(1)
+        assert report[("ingested", "tender")] == 2.0 and report[("linked", "all")] == 11.0
+        assert report[("outcome", "desierto")] == 1.0 and report[("outcome", "awarded")] == 1.0
+    after = stamps()
+    changed = {name for name in after if after[name] != before.get(name)}
+    assert changed == {f"notices/kind=tender/month=2025-{m}" for m in ("01", "03", "06")} | {"notices/kind=award/month=2025-04"}
+    read = monthly_notices(f"{root}/notices").read(spark)
+    assert read.columns == NOTICES.names
+    assert {r.publication_number: str(r.publication_date) for r in read.where("kind = 'tender'").collect()} == {
+        f"T{k}": day for k, day in enumerate(days)
+    } | {"T0": "2025-06-05", "T4": "2025-03-03"}
+    text = read.where("kind = 'award'").select("title")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in text and "title" in text
+
+    # Equal to a dataset that is built anew from all pages.
+    land(landing, "1.json", *first, award, age=300)
+    build_dataset(spark, landing, None, str(tmp_path / "whole"), "2025-01-01", "2025-12-31")
+    whole = spark.read.parquet(str(tmp_path / "whole" / "links"))
+    links = bucketed_table(f"{root}/links", "procedure_id", PROCEDURE_LINKS).read(spark)
+    assert sorted(links.collect(), key=str) == sorted(whole.select(*links.columns).collect(), key=str)
+
+
 def test_hits_without_a_number_are_never_lost(spark, tmp_path):
     landing = str(tmp_path / "in")
     land(landing, "1.json", hit("1"), {"notice-type": "cn-standard"}, {"publication-number": None, "x": 1})
