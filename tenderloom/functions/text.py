@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Every character counted as white space by Unicode and the four ASCII separators;
 # SQL trim alone would only remove blanks.
-_WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # An optionally signed decimal with digit-group underscores and an optional exponent, and the
 # words for infinity and not-a-number, with white space around them.
@@ -21,7 +21,7 @@ _WORD = rf"(?i)^{_AROUND}[+-]?(?:nan|inf|infinity){_AROUND}$"
 
 def strip(text: Column) -> Column:
     """Remove surrounding white space of any kind."""
-    return F.btrim(text, F.lit(_WHITE_SPACE))
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def strip_or_null(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,3 +107,31 @@ def links_report(links: DataFrame) -> DataFrame:
     ]
     listed = totals.select(F.inline(F.array(*rows)))
     return listed.where("measure <> 'outcome' OR value IS NOT NULL")
+
+
+def lag_sketches(links: DataFrame, k: int = 200) -> DataFrame:
+    """A quantile sketch of the lags of each award day: award_date and lags, a few kilobytes whatever the number of links.
+
+    Sketches of days merge into one of any window (`approximate_median_lag`), so a dashboard need not read the links
+    again. `k` sets size and error: a quantile's rank is off by about 1.3 percent at 200.
+    """
+    known = links.where(F.col("lag_days").isNotNull())
+    return known.groupBy("award_date").agg(F.kll_sketch_agg_bigint("lag_days", k).alias("lags"))
+
+
+def approximate_median_lag(
+    sketches: DataFrame, date_from: dt.date | str | None = None, date_to: dt.date | str | None = None
+) -> DataFrame:
+    """Number of lags and their median, to the error of the sketches, over award days in a window (both ends included).
+    The exact median is `links.median_lag`. NULL if there are none."""
+    chosen = sketches
+    if date_from is not None:
+        chosen = chosen.where(F.col("award_date") >= F.lit(date_from).cast("date"))
+    if date_to is not None:
+        chosen = chosen.where(F.col("award_date") <= F.lit(date_to).cast("date"))
+    merged = chosen.agg(F.count(F.lit(1)).alias("days"), F.kll_merge_agg_bigint("lags").alias("lags"))
+    some = F.col("days") > 0
+    return merged.select(
+        F.when(some, F.kll_sketch_get_n_bigint("lags")).otherwise(F.lit(0)).cast("bigint").alias("n"),
+        F.when(some, F.kll_sketch_get_quantile_bigint("lags", F.lit(0.5))).alias("median_lag_days"),
+    )

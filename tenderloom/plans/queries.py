@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tenderloom.functions.outcomes import notice_kind
 from tenderloom.operators import backtest, cost, eligibility, families, grading, links, monitoring, search, tenders, upsert
 from tenderloom.operators.normalize import normalize_notices, require_keyed
+from tenderloom.plans import sql_functions
 from tenderloom.plans.dataset import apply_batch, select_window
 from tenderloom.schemas import TENDER
 from tenderloom.session import shared_folder
@@ -225,6 +226,51 @@ def _upserted_tenders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _marked_tenders(spark: SparkSession, folder: str) -> DataFrame:
+    return upsert.upsert_marked(
+        sample.tenders(spark, folder).select("entry_id", "title", "budget", "deadline"),
+        upsert.keyed_tenders(sample.tender_corrections(spark, folder)),
+        sample.deletion_marks(spark, folder),
+        "entry_id",
+        "landed",
+    )
+
+
+def _lag_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of lags in the merged sketch, and whether the share of lags up to its median is half, give or take 3 percent
+    and the links that have just that lag."""
+    linked = _links(spark, folder).where(F.col("lag_days").isNotNull())
+    found = monitoring.approximate_median_lag(monitoring.lag_sketches(linked))
+    counted = linked.groupBy("lag_days").agg(F.count(F.lit(1)).alias("links"))
+    median = F.col("median_lag_days")
+    below = F.sum(F.when(F.col("lag_days") < median, F.col("links")).otherwise(0))
+    upto = F.sum(F.when(F.col("lag_days") <= median, F.col("links")).otherwise(0))
+    # One row joins all: on a constant, since there is no key.
+    both = counted.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one")
+    return both.groupBy("n").agg(((below <= 0.53 * F.col("n")) & (upto >= 0.47 * F.col("n"))).alias("within_bound"))
+
+
+def _asked_in_sql(spark: SparkSession, folder: str, question: str) -> DataFrame:
+    """A question to the table functions over the sample tables."""
+    for name in ("tenders", "notices", "requirements"):
+        getattr(sample, name)(spark, folder).createOrReplaceTempView(name)
+    sql_functions.register_functions(spark)
+    return spark.sql(question)
+
+
+SQL_QUESTIONS = {
+    "sql_search_tenders": f"""
+        SELECT * FROM search_tenders('{SEARCH_FAMILY}', max_budget => {HIGHEST_BUDGET}, min_budget => {LOWEST_BUDGET})""",
+    "sql_past_awards": f"""
+        SELECT notice, title, award_value_eur, array_join(winners, '|') AS winners, outcome
+        FROM past_awards('{FAMILY}')""",
+    "sql_award_outcome_counts": f"SELECT * FROM award_outcome_counts('{FAMILY}')",
+    "sql_company_eligibility": """
+        SELECT tender_id, verdict, scope, solvency, certification, capacity
+        FROM company_eligibility(array('1', '45'), 300000.0D, array('iso 9001'), 950000.0D)""",
+}
+
+
 def _window(spark: SparkSession, folder: str) -> DataFrame:
     return sample.tender_notices_by_country(spark, folder).where(
         notice_pages.source_window("tender", *WINDOW, country=COUNTRY)
@@ -386,4 +432,10 @@ def queries() -> dict[str, Query]:
         "scan_atom_entries": _scanned_entries,
         "upsert_notices": _upserted_notices,
         "upsert_tenders": _upserted_tenders,
+        "upsert_marked_tenders": _marked_tenders,
+        "lag_sketch": _lag_sketch,
+        **{
+            name: lambda s, d, question=question: _asked_in_sql(s, d, question)
+            for name, question in SQL_QUESTIONS.items()
+        },
     }

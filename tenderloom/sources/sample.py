@@ -635,3 +635,15 @@ def tender_corrections(spark: SparkSession, folder: str) -> DataFrame:
             F.struct("l_shipdate", "l_extendedprice", "l_orderkey", "l_suppkey").alias("landed"),
         )
     )
+
+
+def deletion_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Feed tenders that were taken back, some of them before or between their corrections."""
+    return (
+        table(spark, folder, "lineitem")
+        .where((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 40))
+        .select(
+            _text("PT-", F.col("l_suppkey")).alias("entry_id"),
+            F.struct("l_shipdate", "l_extendedprice", "l_orderkey", "l_suppkey").alias("landed"),
+        )
+    )

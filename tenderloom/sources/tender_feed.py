@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderloom.schemas import FEED_ENTRY
 
@@ -55,3 +56,15 @@ def read_entries(entries: DataFrame, text: str = "entry") -> DataFrame:
     """
     carried = [name for name in entries.columns if name != text]
     return entries.select(*carried, F.inline(F.array(entry_from_text(F.col(text)))))
+
+
+def scan_marks(spark: SparkSession, path: str) -> DataFrame:
+    """Deletion marks of all feed pages below `path`: entry_id, and `landed`, which orders them by page.
+
+    Entries are read without them unless they are asked for. A mark counts as having come before the entries of its page.
+    """
+    marks = T.StructType([T.StructField("_ref", T.StringType())])
+    read = spark.read.format("xml").options(**(_OPTIONS | {"rowTag": "deleted-entry"})).schema(marks).load(path)
+    position = F.lit(-1).cast("bigint")
+    page = (F.col("_metadata.file_modification_time").alias("landed_at"), F.col("_metadata.file_path").alias("file"))
+    return read.select(F.col("_ref").alias("entry_id"), F.struct(*page, position.alias("position")).alias("landed"))
