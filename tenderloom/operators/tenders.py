@@ -85,6 +85,77 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     )
 
 
+def _anywhere(*names: str) -> str:
+    """Path to the first element of the last name, inside the first one of each name before; by local name, at any depth."""
+    path = ""
+    for name in names:
+        path = f"({path}//*[local-name()='{name}'])[1]"
+    return path
+
+
+def _text_anywhere(fragment: Column, *names: str) -> Column:
+    return strip_or_null(F.xpath_string(fragment, F.lit(_anywhere(*names))))
+
+
+def _documents_anywhere(entry: Column, element: str, kind: str) -> Column:
+    # Cut out with their tags, whatever the prefix; a reference holds no other reference.
+    block = rf"(?s)<((?:[\w.-]+:)?{element})(?:\s[^>]*)?>.*?</\1\s*>"
+    listed = F.transform(
+        F.regexp_extract_all(F.regexp_replace(entry, r"(?s)<!--.*?-->", ""), F.lit(block), F.lit(0)),
+        lambda reference: F.struct(
+            F.lit(kind).alias("kind"),
+            _text_anywhere(reference, "ID").alias("name"),
+            _text_anywhere(reference, "URI").alias("uri"),
+        ),
+    )
+    return F.filter(listed, lambda document: document["uri"].isNotNull())
+
+
+def _found_anywhere(entry: Column) -> dict[str, Column]:
+    amount = F.coalesce(
+        _text_anywhere(entry, "BudgetAmount", "TaxExclusiveAmount"),
+        _text_anywhere(entry, "BudgetAmount", "EstimatedOverallContractAmount"),
+    )
+    documents = F.concat(
+        _documents_anywhere(entry, "LegalDocumentReference", LEGAL),
+        _documents_anywhere(entry, "TechnicalDocumentReference", TECHNICAL),
+    )
+    return {
+        "entry_id": F.coalesce(_text_anywhere(entry, "id"), F.lit("")),
+        "expediente": _text_anywhere(entry, "ContractFolderID"),
+        "title": _text_anywhere(entry, "ProcurementProject", "Name"),
+        "budget": to_number(amount),
+        "cpv_primary": _text_anywhere(entry, "ItemClassificationCode"),
+        "deadline": leading_date(_text_anywhere(entry, "TenderSubmissionDeadlinePeriod", "EndDate")),
+        "documents": F.coalesce(documents, F.array().cast(TENDERS["documents"].dataType)),
+    }
+
+
+def parse_entries_anywhere(entries: DataFrame, text: str = "entry") -> DataFrame:
+    """As `parse_entries`, from entries held as text, and at any depth: each value is that of the first element of its
+    name, inside the first block of its parent's name, wherever these are. Other columns are carried along.
+
+    An entry is parsed for each value, which costs several times the declared form; `complete_entries` does so only for
+    entries in which that leaves something out.
+    """
+    found = _found_anywhere(F.col(f"`{text}`"))
+    carried = [name for name in entries.columns if name != text and name not in found]
+    return entries.select(*carried, *[value.alias(name) for name, value in found.items()])
+
+
+def complete_entries(parsed: DataFrame, text: str = "entry") -> DataFrame:
+    """Entries parsed at their declared paths, with their text carried along, and what those paths did not find looked for
+    at any depth. The text is dropped."""
+
+    def completed(name: str, anywhere: Column) -> Column:
+        empty = F.size(name) == 0 if name == "documents" else F.coalesce(F.col(name).cast("string"), F.lit("")) == ""
+        return F.when(empty, anywhere).otherwise(F.col(name)).alias(name)
+
+    found = _found_anywhere(F.col(f"`{text}`"))
+    carried = [name for name in parsed.columns if name != text and name not in found]
+    return parsed.select(*carried, *[completed(name, value) for name, value in found.items()])
+
+
 def legal_documents(documents: Column) -> Column:
     """The administrative specifications among a tender's documents."""
     return F.filter(documents, lambda document: document["kind"] == LEGAL)

@@ -428,6 +428,9 @@ def queries() -> dict[str, Query]:
         **scores,
         "normalize_notices": _normalized,
         "parse_tenders": lambda s, d: _flat_tenders(_parsed_from_text(s, d)),
+        "parse_tenders_anywhere": lambda s, d: _flat_tenders(
+            tenders.parse_entries_anywhere(sample.feed_entries(s, d).select("entry"))
+        ),
         "scan_ted_pages": _scanned_pages,
         "scan_atom_entries": _scanned_entries,
         "upsert_notices": _upserted_notices,

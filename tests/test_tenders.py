@@ -218,3 +218,36 @@ def test_documents_by_their_first_bytes(spark, tmp_path):
     assert {row.path.rsplit("/", 1)[1]: row.is_pdf for row in rows} == {
         "real.txt": True, "fake.pdf": False, "short.pdf": False
     }
+
+
+MOVED = """
+<entry><wrap><x:id>m1</x:id></wrap><other><e:ContractFolderStatus><inner><b:ContractFolderID>EXP/9</b:ContractFolderID></inner>
+  <part><a:ProcurementProject><deep><b:Name>Moved &lt;name&gt;</b:Name></deep>
+    <deep><a:BudgetAmount><x><b:TaxExclusiveAmount> </b:TaxExclusiveAmount></x><b:EstimatedOverallContractAmount>5</b:EstimatedOverallContractAmount></a:BudgetAmount></deep>
+    <codes><b:ItemClassificationCode>45</b:ItemClassificationCode></codes></a:ProcurementProject></part>
+  <a:DocumentAvailabilityPeriod><b:EndDate>2026-01-01</b:EndDate></a:DocumentAvailabilityPeriod>
+  <process><a:TenderSubmissionDeadlinePeriod><x><b:EndDate>2026-02-02+01:00</b:EndDate></x></a:TenderSubmissionDeadlinePeriod></process>
+  <!-- <a:LegalDocumentReference><b:URI>https://d.example/not</b:URI></a:LegalDocumentReference> -->
+  <docs><a:TechnicalDocumentReference><b:URI>https://d.example/t</b:URI></a:TechnicalDocumentReference>
+    <a:LegalDocumentReference kind="x"><b:ID>l.pdf</b:ID><link><b:URI>https://d.example/l?a=1&amp;b=2</b:URI></link></a:LegalDocumentReference></docs>
+</e:ContractFolderStatus></other></entry>"""
+
+
+def test_elements_at_any_depth(spark):
+    bodies = [MOVED, FULL, BARE, *[budget_entry(name, content) for name, (content, _) in BUDGETS.items()]]
+    texts = spark.createDataFrame([(k, body) for k, body in enumerate(bodies)], "n int, entry string")
+    found = {r.n: r for r in tenders.parse_entries_anywhere(texts).collect()}
+    moved = found[0]
+    assert (moved.entry_id, moved.expediente, moved.title, moved.budget, moved.cpv_primary, moved.deadline) == (
+        "m1", "EXP/9", "Moved <name>", 5.0, "45", dt.date(2026, 2, 2),
+    )
+    assert [tuple(d) for d in moved.documents] == [
+        ("legal", "l.pdf", "https://d.example/l?a=1&b=2"), ("technical", None, "https://d.example/t"),
+    ]
+    # Where all is at its declared path the two forms agree, and the fast one is completed where it is not.
+    declared = tenders.parse_entries(tender_feed.read_entries(texts.withColumn("text", F.col("entry"))))
+    plain = {r.n: r for r in declared.collect()}
+    whole = {r.n: r for r in tenders.complete_entries(declared, "text").collect()}
+    for n in range(1, len(bodies)):
+        assert all(plain[n][name] == found[n][name] == whole[n][name] for name in TENDERS.names), bodies[n]
+    assert plain[0].title is None and all(whole[0][name] == moved[name] for name in TENDERS.names)
