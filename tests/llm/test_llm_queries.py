@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 
 import corpus_pipeline
+import numpy as np
 import pytest
 import tiktoken
 import public_tokenizers
 from compare import compare
 from test_matching import ITEMS, plain_classes
+from tokenizers import Tokenizer
 
 from tenderloom.llm import bpe, oracle, queries, secret_scan
 
@@ -24,10 +28,75 @@ def test_query_equals_sql(spark, sample, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(SQL)))
 def test_query_gives_a_row_for_each_document(spark, sample, name):
-    found = queries.queries()[name](spark, sample)
-    ids = [r["doc_id"] for r in found.select("doc_id").collect()]
-    if name != "op5_decontaminate":
-        assert sorted(ids) == list(range(200))
+    if name in ("op5_decontaminate", "op12_whitening"):
+        pytest.skip("its rows are others; see its own tests")
+    ids = [r["doc_id"] for r in queries.queries()[name](spark, sample).select("doc_id").collect()]
+    assert sorted(ids) == list(range(200))
+
+
+def _texts(spark, sample):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sample}/documents.parquet").collect()}
+
+
+def _library(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def test_token_files_equal_the_library(spark, sample):
+    texts, at = _texts(spark, sample), 0
+    found = {r["doc_id"]: r for r in queries.op4_wavelet_matrix(spark, sample).collect()}
+    coder = _library("word_bpe_49k.json")
+    for i in sorted(texts):
+        ids = [*coder.encode(texts[i], add_special_tokens=False).ids, 1]
+        raw = np.array(ids, "<u4").tobytes()
+        assert tuple(found[i][c] for c in ("start", "n_tokens", "ids_crc32")) == (at, len(ids), zlib.crc32(raw))
+        at += len(ids)
+
+
+def test_classes_equal_all_pairs(spark, sample):
+    expected = plain_classes(sorted(_texts(spark, sample).items()))
+    found = queries.op6_jaccard_join(spark, sample).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == expected
+
+
+def test_byte_bpe_equals_the_library(spark, sample):
+    name = "byte_bpe_multi_50k.tiktoken"
+    coder = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(name), special_tokens={}
+    )
+    texts = _texts(spark, sample)
+    for r in queries.op7_byte_bpe(spark, sample).collect():
+        ids, raw = coder.encode_ordinary(texts[r["doc_id"]]), texts[r["doc_id"]].encode()
+        assert r["n_tokens"] == len(ids) and r["decoded_sha256"] == hashlib.sha256(raw).hexdigest()
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_token_counts_equal_the_library(spark, sample):
+    texts, coder = _texts(spark, sample), _library("byte_bpe_50k.json")
+    for r in queries.op9_token_counts(spark, sample).collect():
+        n = len(coder.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(texts[r["doc_id"]].encode()), n > 1024)
+
+
+SECRETS = {
+    "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+}
+
+
+def test_base_secrets_equal_the_stated_patterns(spark, sample):
+    texts = _texts(spark, sample)
+    for r in queries.op10_secret_scan(spark, sample).collect():
+        spans = []
+        for rank, (kind, pattern) in enumerate(SECRETS.items()):
+            for m in re.finditer(pattern, texts[r["doc_id"]]):
+                if len(m[2 if kind == "assign" else 0]) >= {"assign": 8, "access": 16, "hex": 32}[kind]:
+                    spans.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+        base = [shown for _, _, shown in sorted(spans)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert set(base) <= set(r["spans"].split(",")) | {""}
+        assert [r[f"n_{k}"] for k in SECRETS] == [sum(b.startswith(f"{k}:") for b in base) for k in SECRETS]
 
 
 def test_pipeline_equals_plain_stages(spark, sample):
