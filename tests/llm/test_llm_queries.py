@@ -8,6 +8,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import public_tokenizers
@@ -15,7 +16,7 @@ from compare import compare
 from test_matching import ITEMS, plain_classes
 from tokenizers import Tokenizer
 
-from tenderloom.llm import bpe, oracle, queries, secret_scan
+from tenderloom.llm import bpe, decontaminate, oracle, queries, secret_scan
 
 SQL = oracle.oracle_sql()
 
@@ -59,6 +60,23 @@ def test_classes_equal_all_pairs(spark, sample):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == expected
 
 
+def test_leaks_equal_alignments_of_all_documents_and_items(spark, sample):
+    texts = _texts(spark, sample)
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sample}/benchmark.parquet").collect()}
+    expected = {}
+    for item, item_text in items.items():
+        vocabulary = decontaminate.Vocabulary([item_text or ""])
+        size = len(vocabulary.words)
+        for doc, text in texts.items():
+            numbers = vocabulary.numbers(pa.array([text], pa.string()))[0]
+            if size and len(numbers):
+                best = float(np.max(decontaminate.align(vocabulary.words, numbers[None, :])[0]))
+                if best >= size:
+                    expected[doc, item] = best / (2 * size)
+    found = queries.op5_decontaminate(spark, sample).collect()
+    assert expected and {(r["doc_id"], r["item_id"]): r["score"] for r in found} == pytest.approx(expected)
+
+
 def test_byte_bpe_equals_the_library(spark, sample):
     name = "byte_bpe_multi_50k.tiktoken"
     coder = tiktoken.Encoding(
