@@ -240,14 +240,12 @@ def _lag_sketch(spark: SparkSession, folder: str) -> DataFrame:
     """Number of lags in the merged sketch, and whether the share of lags up to its median is half, give or take 3 percent
     and the links that have just that lag."""
     linked = _links(spark, folder).where(F.col("lag_days").isNotNull())
-    found = monitoring.approximate_median_lag(monitoring.lag_sketches(linked))
-    counted = linked.groupBy("lag_days").agg(F.count(F.lit(1)).alias("links"))
-    median = F.col("median_lag_days")
-    below = F.sum(F.when(F.col("lag_days") < median, F.col("links")).otherwise(0))
-    upto = F.sum(F.when(F.col("lag_days") <= median, F.col("links")).otherwise(0))
-    # One row joins all: on a constant, since there is no key.
-    both = counted.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one")
-    return both.groupBy("n").agg(((below <= 0.53 * F.col("n")) & (upto >= 0.47 * F.col("n"))).alias("within_bound"))
+    found = monitoring.approximate_median_lag(monitoring.lag_sketches(linked)).first()
+    lag, half = F.col("lag_days"), F.lit(found["median_lag_days"])
+    return linked.agg(
+        F.lit(found["n"]).cast("bigint").alias("n"),
+        ((F.count_if(lag < half) <= 0.53 * found["n"]) & (F.count_if(lag <= half) >= 0.47 * found["n"])).alias("within_bound"),
+    )
 
 
 def _asked_in_sql(spark: SparkSession, folder: str, question: str) -> DataFrame:
