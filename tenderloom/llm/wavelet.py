@@ -206,6 +206,12 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
+def file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow's file system for a folder, and the folder's path in it. Hadoop's names of S3 are other than Arrow's."""
+    scheme, colon, rest = folder.partition("://")
+    return pa.fs.FileSystem.from_uri(f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else folder)
+
+
 def write_shards(
     docs: DataFrame,
     folder: str,
@@ -220,7 +226,7 @@ def write_shards(
     closed once it has `shard_tokens`. Files get their names when complete, so a repeated task replaces its own."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pa.fs.FileSystem.from_uri(folder)
+        store, root = file_system(folder)
         code, task, made = encoder(vocabulary), TaskContext.get(), 0
         keys, ids, counts, held = [], [], [], 0
 
@@ -249,7 +255,7 @@ def write_shards(
         if keys:
             yield close()
 
-    store, root = pa.fs.FileSystem.from_uri(folder)
+    store, root = file_system(folder)
     store.create_dir(root, recursive=True)  # there without documents too
     rows = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key")

@@ -125,3 +125,13 @@ def test_files_hold_all_documents_in_order(spark, odd_docs, no_docs):
     empty = shared_folder(spark, "test-wavelet")
     assert wavelet.write_shards(no_docs, empty).collect() == []
     assert wavelet.read_documents(spark, empty).collect() == []
+
+
+@pytest.mark.parametrize("scheme", ["s3", "s3a", "s3n"])
+def test_shards_can_lie_in_s3(monkeypatch, scheme):
+    asked = []
+    monkeypatch.setattr(wavelet.pa.fs, "FileSystem", type("Named", (), {"from_uri": staticmethod(asked.append)}))
+    wavelet.file_system(f"{scheme}://bucket/shared/llm")
+    wavelet.file_system("file:///shared/llm")
+    wavelet.file_system("/shared/llm")
+    assert asked == ["s3://bucket/shared/llm", "file:///shared/llm", "/shared/llm"]
