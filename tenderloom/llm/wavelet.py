@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -189,7 +190,9 @@ class Shard:
 
 class Encoder:
     def __init__(self, name: str):
-        self.table = PieceTable(joined_encoder(Tokenizer.from_file(public_tokenizers.path(name)), b"<"))
+        # Spark keeps all cores busy with tasks; threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.table = PieceTable(joined_encoder(Tokenizer.from_file(public_tokenizers.path(name)), b"<"), 2_000_000)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and how many each has."""
