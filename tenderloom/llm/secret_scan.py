@@ -1,12 +1,14 @@
 """Secrets in plain and encoded text: every layer that can be unwrapped is scanned like the text itself.
 
 A worklist starts with the text. Each layer is scanned for secrets; then its parts that look like percent escapes,
-Unicode escapes, base64 or base64 of compressed bytes are decoded, and each new layer joins the list. Digests of layers seen
-end cycles, so the list ends when no part gives a layer that is new. Every layer keeps for each of its characters the place
+Unicode escapes (also `%uXXXX` and `U+XXXX`), base64 or base64 of compressed bytes are decoded, and each new layer joins the
+list. Bytes are read as UTF-8 and as UTF-16. Compressed are gzip, zlib, bzip2, xz and zstandard wherever they begin, also one
+in the other, and raw deflate, which has no mark, where a run or a part of it behind one of `/ - _ +` begins, if all it
+gives is text. Digests of layers seen end cycles, so the list ends when no part gives a layer that is new. Every layer keeps for each of its characters the place
 in the text it came from, so a secret found in any layer becomes a span of the text: for escapes the characters that
 encode it, for base64 the groups of four that encode it, and for compressed bytes the groups that encode all of the
 stream. Base64 is read over line ends and blanks too, and compressed streams member after member, up to where they
-break off.
+break off (raw deflate: only whole streams). An xz stream that asks for more than `MEMORY` is not unpacked.
 
 Spans are code points, end exclusive. Null and empty texts have none. Texts are scanned whole. Equal spans from several
 layers count once. A compressed layer of any length is inflated and scanned in pieces that overlap, which holds memory
@@ -18,13 +20,16 @@ result are replaced.
 from __future__ import annotations
 
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +45,10 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPES = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
+_ESCAPES = re.compile(
+    r"[\\%]u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})"
+    r"|U\+([0-9A-Fa-f]{4,6})(?:[\x20,;]{1,3}(?=U\+[0-9A-Fa-f]{4}))?"
+)
 # Base64 that is no word, and words.
 _PIECE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z]?+[a-z]*+[A-Z0-9+/_-][A-Za-z0-9+/_-]*={0,2}")
 _WORD = re.compile(r"[A-Za-z][a-z]*")
@@ -55,11 +63,17 @@ _TEXT = re.compile(
     rb"(?:[\t\n\r\x20-\x7e]++|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
     rb"|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++"
 )
-# First bytes of gzip and of zlib without a preset dictionary.
+# The same as UTF-16 of either byte order.
+_UTF16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){%d,}|(?:\0[\t\n\r\x20-\x7e]){%d,}" % (SHORTEST, SHORTEST))
+# First bytes of gzip, bzip2, xz and zstandard, and of zlib without a preset dictionary.
+_GZIP, _BZIP2, _XZ, _ZSTANDARD = rb"\x1f\x8b\x08", rb"BZh[1-9]1AY&SY", rb"\xfd7zXZ\0", rb"\x28\xb5\x2f\xfd"
+_SURE = re.compile(b"|".join([_GZIP, _BZIP2, _XZ, _ZSTANDARD]), re.DOTALL)
 _MARKS = [bytes((c, f)) for c in range(8, 128, 16) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32]
-_HEAD = re.compile(b"|".join([rb"\x1f\x8b\x08", *map(re.escape, _MARKS)]), re.DOTALL)
+_HEAD = re.compile(b"|".join([_SURE.pattern, *map(re.escape, _MARKS)]), re.DOTALL)
 _HEADS = re.compile(b"(?=" + _HEAD.pattern + b")", re.DOTALL)
 STEP = 1 << 14  # compressed bytes given to zlib at once
+SMALL_STEP = 64  # and to the other libraries, which give nothing of a step with damage in it
+MEMORY = 128 << 20  # for an xz stream
 PIECE = 1 << 22  # inflated bytes scanned at once, and how many are scanned again with the next piece
 OVERLAP = 1 << 16
 _WIDE = re.compile(rb"\x20{3,}")
@@ -97,44 +111,104 @@ def _stretches(raw: bytes) -> Iterator[tuple[int, int]]:
                 yield m.span()
 
 
+def _utf16(raw: bytes) -> Iterator[tuple[int, int, str]]:
+    """Every stretch of the bytes that is UTF-16 of plain characters and long enough to hold a secret, and its text."""
+    if raw.count(0) >= SHORTEST:
+        for m in _UTF16.finditer(raw):
+            yield *m.span(), m[0].replace(b"\0", b"").decode()
+
+
 def _inflate(raw: bytes, begin: int, most: int) -> Iterator[tuple[bytes, int, bool]]:
-    """Decompressed bytes of the gzip or zlib members from `begin` on, one after the other, in pieces of at most `most`;
-    with each the place behind what was read and whether a member is complete there. Of members that break off or are
-    damaged it gives what comes before."""
-    at = begin
-    while _HEAD.match(raw, at):
-        machine, step, stop = zlib.decompressobj(47), STEP, at
-        while not machine.eof:
-            saved = machine.copy() if step > 1 else None
-            piece = raw[at : at + step]
-            try:
-                out = machine.decompress(piece, most)
-            except zlib.error:
-                if step == 1:
-                    return
-                machine, step = saved, 1  # again byte by byte, up to the damage
-                continue
-            used = len(piece) - len(machine.unconsumed_tail) - len(machine.unused_data)
-            if not out and not used:
-                break
-            at += used
-            yield out, at, machine.eof
-        if not machine.eof or at == stop:
+    """Decompressed bytes of the members from `begin` on, one after the other, in pieces of at most about `most`; with each
+    the place behind what was read and whether a member is complete there. Of members that break off or are damaged it
+    gives what comes before."""
+    at, eof = begin, True
+    while eof and _HEAD.match(raw, at):
+        stop, eof = at, False
+        for out, at, eof in _member(raw, at, most):
+            yield out, at, eof
+        if at == stop:
             return
-        while raw[at : at + 1] == b"\0":  # padding between members
+        while eof and raw[at : at + 1] == b"\0":  # padding between members
             at += 1
 
 
+def _member(raw: bytes, at: int, most: int) -> Iterator[tuple[bytes, int, bool]]:
+    """The same for one member."""
+    if raw[at] == 0x42:
+        return _steps(bz2.BZ2Decompressor(), raw, at, most)
+    if raw[at] == 0xFD:
+        return _steps(lzma.LZMADecompressor(lzma.FORMAT_XZ, MEMORY), raw, at, most)
+    if raw[at : at + 4] == b"\x28\xb5\x2f\xfd":
+        return _steps(zstandard.ZstdDecompressor().decompressobj(), raw, at, 0)
+    return _zlib_member(raw, at, most)
+
+
+def _steps(machine, raw: bytes, at: int, most: int) -> Iterator[tuple[bytes, int, bool]]:
+    """One member in small steps. Zstandard takes no bound for what a step may give, but no step holds many blocks."""
+    while not machine.eof:
+        piece = raw[at : at + SMALL_STEP] if getattr(machine, "needs_input", True) else b""
+        try:
+            out = machine.decompress(piece, most) if most else machine.decompress(piece)
+        except (OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+            return
+        if not out and not piece:
+            return
+        at += len(piece) - (len(machine.unused_data) if machine.eof else 0)
+        yield out, at, machine.eof
+
+
+def _zlib_member(raw: bytes, at: int, most: int, bits: int = 47) -> Iterator[tuple[bytes, int, bool]]:
+    machine, step = zlib.decompressobj(bits), STEP
+    while not machine.eof:
+        saved = machine.copy() if step > 1 else None
+        piece = raw[at : at + step]
+        try:
+            out = machine.decompress(piece, most)
+        except zlib.error:
+            if step == 1:
+                return
+            machine, step = saved, 1  # again byte by byte, up to the damage
+            continue
+        used = len(piece) - len(machine.unconsumed_tail) - len(machine.unused_data)
+        if not out and not used:
+            return
+        at += used
+        yield out, at, machine.eof
+
+
+def _raw_deflate(raw: bytes, begin: int, most: int) -> tuple[int, int, bool]:
+    """How far a stream of raw deflate that holds nothing but text reaches, how long its text is, and whether it is whole."""
+    try:
+        zlib.decompressobj(-15).decompress(raw[begin : begin + SMALL_STEP], most)
+    except zlib.error:
+        return begin, 0, False
+    size, held, at, eof, kinds = 0, b"", begin, False, set()
+    for out, at, eof in _zlib_member(raw, begin, most, -15):
+        held += out
+        if len(kinds) < 6:
+            kinds.update(held)
+        m = _TEXT.match(held)
+        done = m.end() if m else 0
+        if len(held) - done > 3:  # more than a character that goes on
+            return begin, 0, False
+        size, held = size + done, held[done:]
+    if at - begin < 64 and (size > 8 * (at - begin) or len(kinds) < 6):
+        return begin, 0, False  # a few characters repeated are chance
+    return at, size, eof and not held
+
+
 class Stream:
     """A compressed stream as layers with one span, of about `PIECE` bytes each (`most`, if that is less). Each layer begins with the end of the one
     before: as the span is the same everywhere, it is enough that each secret is whole in some layer, and a secret with
     the escapes and base64 around it is far shorter than `OVERLAP` with blanks shortened. Only a compressed stream in this
     one can be longer; while one is `open` at the end of a layer, the next layer begins where that layer does."""
 
-    def __init__(self, raw: bytes, begin: int, most: int, start: int, end: int, outer: Stream | None):
+    def __init__(self, raw: bytes, begin: int, most: int, start: int, end: int, outer: Stream | None, bare: bool = False):
         self.start, self.end, self.outer, self.open, self.n = start, end, outer, False, 0
-        most = min(most, PIECE)
-        self.pieces = self._joined(_inflate(raw, begin, most), most)
+        self.most = min(most, PIECE)
+        members = _zlib_member(raw, begin, self.most, -15) if bare else _inflate(raw, begin, self.most)
+        self.pieces = self._joined(members, self.most)
         self.held = b""
 
     @staticmethod
@@ -148,18 +222,35 @@ class Stream:
             size += len(piece)
         yield b"".join(held)
 
-    def next(self) -> list[Layer] | None:
-        """The layers of the next piece, to be scanned to their ends before the next call; none at the end."""
+    def next(self) -> list[Layer | tuple[bytes, Stream]] | None:
+        """The layers of the next piece, to be scanned to their ends before the next call, and compressed streams in it with a
+        digest; none at the end."""
         piece = next(self.pieces, None)
         if piece is None:
             return None
         self.n += 1
         held = self.held if self.open else self.held[-OVERLAP:]
-        raw = held + piece
-        if self.n > 1 or len(raw) > OVERLAP:
-            raw = _WIDE.sub(b"  ", raw)
-        self.held, self.open = raw, False
-        return [Layer(raw[a:b].decode(), self.start, self.end, self) for a, b in _stretches(raw)]
+        raw, self.open = held + piece, False
+        found = list(self._inner(raw))
+        narrow = _WIDE.sub(b"  ", raw) if self.n > 1 or len(raw) > OVERLAP else raw
+        self.held = raw if self.open else narrow
+        found += [Layer(narrow[a:b].decode(), self.start, self.end, self) for a, b in _stretches(narrow)]
+        return found + [Layer(text, self.start, self.end, self) for _, _, text in _utf16(narrow)]
+
+    def _inner(self, raw: bytes) -> Iterator[tuple[bytes, Stream]]:
+        done = 0
+        for head in _SURE.finditer(raw):
+            at, size, eof = head.start(), 0, True
+            if at < done:
+                continue
+            stop = at
+            for out, stop, eof in _inflate(raw, at, self.most):
+                size += len(out)
+            done = stop if eof else done
+            if not eof and stop == len(raw):
+                self.keep_open()
+            if size:
+                yield hashlib.sha1(raw[at:stop]).digest(), Stream(raw, at, self.most, self.start, self.end, self)
 
     def keep_open(self) -> None:
         """Marks this stream and those around it: a stream in its layers goes on behind them."""
@@ -206,12 +297,12 @@ def _escapes(layer: Layer) -> Layer | None:
         code = int(next(g for g in m.groups() if g), 16)
         if code > 0x10FFFF or 0xD800 <= code < 0xE000:
             continue
-        a, b = m.span()
+        a, b = m.start(), m.end(5) if m[5] else m.end()
         parts += [layer.text[at:a], chr(code)]
         if not same:
             starts += [layer.start[at:a], layer.start[a : a + 1]]
             ends += [layer.end[at:a], layer.end[b - 1 : b]]
-        at = b
+        at = m.end()
     return _decoded(layer, parts, starts, ends, at)
 
 
@@ -273,12 +364,31 @@ def _base64(layer: Layer, most: int) -> Iterator[tuple[Layer | Stream, bool]]:
                 """First and last character of the run that encode these bytes."""
                 return skip + a // 3 * 4, skip + min((b - 1) // 3 * 4 + 4, len(body)) - 1
 
+            def stream(at: int, stop: int, size: int, bare: bool = False) -> Iterator[tuple[Stream, bool]]:
+                (u, a), (v, b) = (place(k) for k in ends(at, max(stop, at + 1)))
+                if size >= SHORTEST and (len(parts) == 1 or u != v):
+                    span = layer.span(a, a + 1)[0], layer.span(b, b + 1)[1]
+                    yield Stream(raw, at, most, *span, layer.stream, bare), size > most
+
+            def layer_of(text: str, first: np.ndarray, final: np.ndarray) -> Layer:
+                """Text whose characters begin and end at these bytes."""
+                if isinstance(layer.start, int):
+                    return Layer(text, layer.start, layer.end, layer.stream)
+                start = layer.start[place(skip + first // 3 * 4)[1]]
+                end = layer.end[place(np.minimum(skip + final // 3 * 4 + 4, skip + len(body)) - 1)[1]]
+                return Layer(text, start, end, layer.stream)
+
+            def apart(a: int, b: int) -> bool:
+                """Whether these bytes lie in one of the joined parts, which is read by itself too."""
+                x, y = ends(a, b)
+                return len(parts) > 1 and place(x)[0] == place(y)[0]
+
             done = 0
             for head in _HEADS.finditer(raw):
                 at = head.start()
                 if at < done:
                     continue
-                size, stop, eof, sure, short = 0, at, True, raw[at] == 0x1F, b""
+                size, stop, eof, sure, short = 0, at, True, _SURE.match(raw, at) is not None, b""
                 for out, stop, eof in _inflate(raw, at, min(most, PIECE)):
                     size, sure, short = size + len(out), sure or eof, short + out if stop - at < 64 else b""
                 done = stop if eof else done
@@ -287,22 +397,23 @@ def _base64(layer: Layer, most: int) -> Iterator[tuple[Layer | Stream, bool]]:
                 chance = size > 8 * (stop - at) or all(len({*short[a:b]}) < 6 for a, b in _stretches(short))
                 if not sure and stop - at < 64 and chance:
                     continue  # two bytes that look like a head, and a few characters repeated
-                (u, a), (v, b) = (place(k) for k in ends(at, max(stop, at + 1)))
-                if size >= SHORTEST and (len(parts) == 1 or u != v):
-                    yield Stream(raw, at, most, layer.span(a, a + 1)[0], layer.span(b, b + 1)[1], layer.stream), size > most
-            for a, b in _stretches(raw):
-                x, y = ends(a, b)
-                if len(parts) > 1 and place(x)[0] == place(y)[0]:
-                    continue
-                text = raw[a:b].decode()
-                if isinstance(layer.start, int):
-                    yield Layer(text, layer.start, layer.end, layer.stream), False
+                yield from stream(at, stop, size)
+            for at in range(skip, len(run), 4):
+                if at and run[at - 1] not in "+/" or (at := (at - skip) // 4 * 3) >= len(raw):
                     continue
-                first = a + np.flatnonzero((np.frombuffer(raw, np.uint8, b - a, a) & 0xC0) != 0x80)
-                final = np.append(first[1:], b) - 1
-                start = layer.start[place(skip + first // 3 * 4)[1]]
-                end = layer.end[place(np.minimum(skip + final // 3 * 4 + 4, skip + len(body)) - 1)[1]]
-                yield Layer(text, start, end, layer.stream), False
+                stop, size, whole = _raw_deflate(raw, at, min(most, PIECE))
+                if whole:
+                    yield from stream(at, stop, size, True)
+                elif size and stop == len(raw) and goes_on:
+                    layer.stream.keep_open()
+            for a, b in _stretches(raw):
+                if not apart(a, b):
+                    first = a + np.flatnonzero((np.frombuffer(raw, np.uint8, b - a, a) & 0xC0) != 0x80)
+                    yield layer_of(raw[a:b].decode(), first, np.append(first[1:], b) - 1), False
+            for a, b, text in _utf16(raw):
+                if not apart(a, b):
+                    first = np.arange(a, b, 2)
+                    yield layer_of(text, first, first + 1), False
 
 
 def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], set[Span], int, int]:
@@ -310,7 +421,7 @@ def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], set[Span], int, i
     `most`, which are scanned in several pieces."""
     base = plain_spans(text)
     every, layers, cut_layers = set(base), 0, 0
-    if not ("%" in text or "\\" in text or next(_runs(text), None)):
+    if not ("%" in text or "\\" in text or "U+" in text or next(_runs(text), None)):
         return base, every, 0, 0
     place = np.arange(len(text))
     work: list[Layer | Stream] = [Layer(text, place, place + 1)]
@@ -331,7 +442,11 @@ def scan(text: str, most: int = 64 << 20) -> tuple[list[Span], set[Span], int, i
             if (found := layer.next()) is not None:
                 work.append(layer)  # goes on when all layers of this piece are done
                 for one in found:
-                    add(one)
+                    if isinstance(one, Layer):
+                        add(one)
+                    elif (key := (one[0], layer.start, layer.end)) not in seen:
+                        seen.add(key)
+                        work.append(one[1])
             continue
         if layers:
             every.update((*layer.span(a, b), kind) for a, b, kind in plain_spans(layer.text))

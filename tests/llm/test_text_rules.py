@@ -1,14 +1,18 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import tracemalloc
 import zlib
 from urllib.parse import quote
 
 import pytest
+import zstandard
 
 from tenderloom.llm import quality, secret_scan
 
@@ -60,6 +64,18 @@ ENCODED = {
     "unicode": "".join(f"\\u{ord(c):04x}" for c in SECRET),
     "hex escapes": "".join(f"\\x{ord(c):02x}" for c in SECRET),
     "mixed": quote(base64.b64encode(gzip.compress(SECRET.encode())).decode(), safe=""),
+    "percent u": "".join(f"%u{ord(c):04X}" for c in SECRET),
+    "code points": " ".join(f"U+{ord(c):04X}" for c in SECRET),
+    "code points without blanks": "".join(f"U+{ord(c):04X}" for c in SECRET),
+    "utf-16": base64.b64encode(f"note {SECRET} and".encode("utf-16-le")).decode(),
+    "utf-16 be": base64.b64encode(f"é {SECRET} and".encode("utf-16-be")).decode(),
+    "utf-16 in gzip": base64.b64encode(gzip.compress(SECRET.encode("utf-16"))).decode(),
+    "bzip2": base64.b64encode(bz2.compress(SECRET.encode())).decode(),
+    "xz": base64.b64encode(lzma.compress(SECRET.encode() * 3)).decode(),
+    "zstandard": base64.b64encode(zstandard.compress(SECRET.encode() * 9)).decode(),
+    "raw deflate": base64.b64encode(zlib.compress(SECRET.encode() * 3, 9, -15)).decode(),
+    "gzip in xz": base64.b64encode(lzma.compress(gzip.compress(SECRET.encode() * 3))).decode(),
+    "base64 in raw deflate": base64.b64encode(zlib.compress(base64.b64encode(SECRET.encode()), 9, -15)).decode(),
     "glued": "ab/" + base64.b64encode(f"note: {SECRET} and so on".encode()).decode(),
 }
 
@@ -182,5 +198,54 @@ def test_memory_does_not_grow_with_a_layer():
     tracemalloc.stop()
 
 
+PACKS = {
+    "gzip": gzip.compress, "zlib": zlib.compress, "bzip2": bz2.compress, "xz": lzma.compress, "zstandard": zstandard.compress,
+    "raw deflate": lambda raw: zlib.compress(raw, 9, -15),
+}
+
+
+@pytest.mark.parametrize("kind", PACKS)
+def test_packed_layers_of_every_kind(kind):
+    """Wrapped, behind a path, after another member and longer than a piece; in random order of wrappers."""
+    value = packed(f"{NOISE} {SECRET}", PACKS[kind])
+    lines = "\n".join(value[k : k + 76] for k in range(0, len(value), 76))
+    late = packed(LATE, PACKS[kind])
+    for text in (value, f"a.com/to/{value.rstrip('=')}", lines, late):
+        every = secret_scan.scan(f"see {text} end", most=20_000)[1]
+        assert every and secret_scan.scan(secret_scan.redacted(f"see {text} end", every))[1] == set()
+
+
+@pytest.mark.parametrize("kind", ["bzip2", "xz", "zstandard"])
+def test_members_of_other_kinds_go_on_and_break_off(kind):
+    pack = PACKS[kind]
+    two = pack(b"first") + pack(SECRET.encode())
+    broken = pack(f"{SECRET} {'.' * 99}".encode() + random.Random(4).randbytes(2_000_000))[:-900_000]
+    for raw in (two, broken):
+        assert any(kind == 0 for _, _, kind in secret_scan.scan(base64.b64encode(raw).decode())[1])
+
+
+def test_random_wrappers_give_the_span_of_the_whole():
+    """Brute force over orders of wrappers: a secret under any of them is found within what encodes it, and nowhere else."""
+    draw = random.Random(5)
+    wrap = {
+        "percent": lambda t: quote(t, safe=""),
+        "all percent": lambda t: "".join(f"%{b:02x}" for b in t.encode()),
+        "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "percent u": lambda t: "".join(f"%u{ord(c):04x}" for c in t),
+        "base64": lambda t: base64.b64encode(t.encode()).decode(),
+        "utf-16": lambda t: base64.b64encode(t.encode("utf-16")).decode(),
+        **{k: lambda t, pack=pack: base64.b64encode(pack(t.encode())).decode() for k, pack in PACKS.items()},
+    }
+    for _ in range(60):
+        kinds, value = draw.choices(list(wrap), k=draw.randrange(1, 4)), f"see {SECRET} there"
+        for kind in kinds:
+            value = wrap[kind](value)
+        front = f"é {NOISE[:40]} "
+        base, every, _, _ = secret_scan.scan(f"{front}{value} end")
+        # Stored digits of a compressed layer may look like a long number too.
+        assert base == [] and 0 in {kind for _, _, kind in every}, kinds
+        assert all(len(front) <= a < b <= len(front) + len(value) for a, b, _ in every), kinds
+
+
 def test_random_base64_holds_nothing():
     assert secret_scan.scan(base64.b64encode(bytes.fromhex(RANDOM.replace(".", ""))).decode())[1] == set()
