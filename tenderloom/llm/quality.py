@@ -4,7 +4,8 @@ A rule bounds one ratio (or count) of measures of a text. `score_quality` adds t
 text breaks, and `kept`. Each row is judged on its own, so there is no shuffle and no group.
 
 Words are runs of characters other than blank, tab and line ends. Null and empty texts have no words and break
-`n_words`. Ratios with a zero denominator count as 0. Repeated rows are judged alike; other columns are kept, and
+`n_words`. Ratios with a zero denominator count as 0. The ratio of stop words is asked of texts in Latin letters only (half
+of the characters in words or more), and against the words of all listed languages together. Repeated rows are judged alike; other columns are kept, and
 columns that have the name of a result are replaced.
 """
 
@@ -20,24 +21,39 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 
-# Frequent function words of the languages that are kept.
+# Frequent function words of languages in Latin letters.
 STOP_WORDS = {
     "en": "the of and to in a is that it was for on are as with his they at be this from or had by not but what all",
     "fr": "de la le et les des en un une que est pour qui dans a par plus pas au sur ne se ce il sont avec son elle",
     "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat",
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin",
+    "it": "di che il la per un non sono del con si da una in le dei nel della alla più anche come ma al gli",
+    "pt": "de que não do da em um para com uma os no se na por mais as dos como mas ao das foi ou são",
+    "nl": "de het een van en in is dat op te zijn met voor niet aan er om ook als dan door bij maar uit",
+    "pl": "nie się na jest do że to co jak za od po ale dla przez tym był oraz jego są być tego ich",
+    "sv": "och att det som en på är av för med den till inte om ett men var från vid kan när ska har",
+    "da": "og det at en den til er som på de med for af ikke der var har om et fra men kan eller ved",
+    "fi": "ja on ei se että oli hän mutta ovat kun niin joka myös sen mitä tai vain ole kuin jos siitä",
+    "tr": "ve bir bu da de için ile çok gibi daha en olarak olan ne sonra kadar var ama değil her şey",
+    "cs": "se na je že to do si ve za jsem ale jako tak po jak od byl aby ze pro která jeho není jen",
+    "ro": "și de în la cu nu pe care un din este mai pentru ce au prin sau dar fost fi după această lui",
+    "hu": "az és hogy nem is egy ez de ha meg csak volt van mint már vagy még el ki azt amely sem be",
+    "id": "yang dan di ini dengan untuk tidak dari dalam itu pada adalah ke akan juga saya kita ada atau bisa",
+    "vi": "và của là có cho không được một các trong người với này đã những khi để ra từ như đến",
 }
 
 
 @dataclasses.dataclass(frozen=True)
 class Rule:
-    """`low` <= top / bottom <= `high`; without `bottom` the bounds hold for `top` itself."""
+    """`low` <= top / bottom <= `high`; without `bottom` the bounds hold for `top` itself. With `only` the rule is asked of texts
+    whose first measure is that share of the second, or more."""
 
     name: str
     top: str
     bottom: str | None = None
     low: float | None = None
     high: float | None = None
+    only: tuple[str, str, float] | None = None
 
 
 BASE_RULES = (
@@ -50,11 +66,11 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.5),
     Rule("open_lines", "n_ellipsis_lines", "n_lines", high=0.3),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=0.9),
-    Rule("stop_words", "n_stop_words", low=2),
+    Rule("stop_words", "n_stop_words", "n_words", low=0.02, only=("n_latin_chars", "word_chars", 0.5)),
 )
 MEASURES = (
     "n_words word_chars n_symbols n_lines n_dup_lines n_ellipsis_lines n_bullet_lines n_stop_words "
-    "n_repeat_words"
+    "n_latin_chars n_repeat_words"
 ).split()
 
 
@@ -114,6 +130,7 @@ def measure(docs: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
         "n_ellipsis_lines": count(lines, lambda line: line.rlike("(…|[.]{3})[\\x20\\x09-\\x0D]*$")),
         "n_bullet_lines": count(lines, lambda line: line.rlike("^[\\x20\\x09]*[-•*‣◦]\\x20")),
         "n_stop_words": count(words, lambda word: F.lower(word).isin(*stop_words)),
+        "n_latin_chars": F.length(body) - F.length(F.regexp_replace(body, "[A-Za-z]+", "")),
         "n_repeat_words": F.when(windows.isNull(), 0)
         .when(F.size(F.array_distinct(windows)) == F.size(windows), 0)
         .otherwise(words_inside(windows)),
@@ -129,9 +146,12 @@ def broken(rule: Rule) -> Column:
     bottom = F.col(rule.bottom).cast("double") if rule.bottom else F.lit(1.0)
     breaks = F.lit(False)
     if rule.low is not None:
-        breaks = breaks | (top < bottom * rule.low)
+        breaks = breaks | (top * 100 < bottom * round(rule.low * 100, 6))
     if rule.high is not None:
         breaks = breaks | (top * 100 > bottom * round(rule.high * 100, 6))
+    if rule.only:
+        part, whole, share = rule.only
+        breaks = breaks & (F.col(part).cast("double") * 100 >= F.col(whole).cast("double") * round(share * 100, 6))
     return breaks & (bottom > 0)
 
 
