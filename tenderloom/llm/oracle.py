@@ -27,7 +27,7 @@ WITH words AS (
         CAST(len(list_filter(ls, lambda x: regexp_matches(x, '(…|[.][.][.])[\x20\x09-\x0D]*$'))) AS BIGINT) AS n_ellipsis_lines,
         CAST(len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*[-•*‣◦]\x20'))) AS BIGINT) AS n_bullet_lines,
         CAST(len(list_filter(ws, lambda x: lower(x) IN ({_STOP}))) AS BIGINT) AS n_stop_words,
-        CAST(length(body) - length(regexp_replace(body, '[A-Za-z]', '', 'g')) AS BIGINT) AS n_latin_chars,
+        CAST(length(body) AS BIGINT) AS n_chars, CAST(strlen(body) AS BIGINT) AS n_bytes,
         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
     FROM words w LEFT JOIN inside USING (doc_id)
 ), judged AS (
@@ -39,7 +39,7 @@ WITH words AS (
         CASE WHEN 2 * n_dup_lines > n_lines THEN 'repeated_lines' END,
         CASE WHEN 10 * n_ellipsis_lines > 3 * n_lines THEN 'open_lines' END,
         CASE WHEN 10 * n_bullet_lines > 9 * n_lines THEN 'bullet_lines' END,
-        CASE WHEN 50 * n_stop_words < n_words AND 2 * n_latin_chars >= word_chars THEN 'stop_words' END) AS broken_rules
+        CASE WHEN 50 * n_stop_words < n_words AND 100 * n_chars >= 67 * n_bytes THEN 'stop_words' END) AS broken_rules
     FROM measured
 )
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, broken_rules = '' AS kept FROM judged

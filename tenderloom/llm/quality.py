@@ -4,8 +4,9 @@ A rule bounds one ratio (or count) of measures of a text. `score_quality` adds t
 text breaks, and `kept`. Each row is judged on its own, so there is no shuffle and no group.
 
 Words are runs of characters other than blank, tab and line ends. Null and empty texts have no words and break
-`n_words`. Ratios with a zero denominator count as 0. The ratio of stop words is asked of texts in Latin letters only (half
-of the characters in words or more), and against the words of all listed languages together. Repeated rows are judged alike; other columns are kept, and
+`n_words`. Ratios with a zero denominator count as 0. The ratio of stop words is asked of texts in Latin letters only (at
+least 0.67 characters a byte of UTF-8; other scripts take two bytes or more a letter), and counts words of all listed
+languages together. Repeated rows are judged alike; other columns are kept, and
 columns that have the name of a result are replaced.
 """
 
@@ -66,11 +67,11 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.5),
     Rule("open_lines", "n_ellipsis_lines", "n_lines", high=0.3),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=0.9),
-    Rule("stop_words", "n_stop_words", "n_words", low=0.02, only=("n_latin_chars", "word_chars", 0.5)),
+    Rule("stop_words", "n_stop_words", "n_words", low=0.02, only=("n_chars", "n_bytes", 0.67)),
 )
 MEASURES = (
     "n_words word_chars n_symbols n_lines n_dup_lines n_ellipsis_lines n_bullet_lines n_stop_words "
-    "n_latin_chars n_repeat_words"
+    "n_chars n_bytes n_repeat_words"
 ).split()
 
 
@@ -130,7 +131,8 @@ def measure(docs: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
         "n_ellipsis_lines": count(lines, lambda line: line.rlike("(…|[.]{3})[\\x20\\x09-\\x0D]*$")),
         "n_bullet_lines": count(lines, lambda line: line.rlike("^[\\x20\\x09]*[-•*‣◦]\\x20")),
         "n_stop_words": count(words, lambda word: F.lower(word).isin(*stop_words)),
-        "n_latin_chars": F.length(body) - F.length(F.regexp_replace(body, "[A-Za-z]+", "")),
+        "n_chars": F.length(body),
+        "n_bytes": F.octet_length(body),
         "n_repeat_words": F.when(windows.isNull(), 0)
         .when(F.size(F.array_distinct(windows)) == F.size(windows), 0)
         .otherwise(words_inside(windows)),
