@@ -29,6 +29,15 @@ def build_session(app_name: str = "tenderloom", master: str | None = None, **set
     return builder.getOrCreate()
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The same rows, dealt out evenly over as many tasks as a shuffle has, for work that is dear by the row.
+
+    Files are divided by bytes and row groups, so that millions of narrow rows may come in one task. The number of
+    partitions is given, since adaptive execution would put small ones together again.
+    """
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below `spark.checkpoint.dir`, or else below the warehouse; all executors share both."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

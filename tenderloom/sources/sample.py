@@ -24,6 +24,7 @@ from tenderloom.schemas import (
     TENDER,
     TENDERS,
 )
+from tenderloom.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -372,6 +373,11 @@ def _references(element: str, kind: str, count: Column, key: Column) -> Column:
 
 
 def feed_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Feed entries as XML text, dealt out over the tasks while they are still narrow rows."""
+    return _as_entries(spread(table(spark, folder, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")))
+
+
+def _as_entries(parts: DataFrame) -> DataFrame:
     """Feed entries as XML text, with the blanks, gaps and decoys that entries are known to have."""
     key, amount = F.col("p_partkey"), F.col("p_retailprice") * 1000
     taxed = _text('<cbc:TaxExclusiveAmount currencyID="EUR">', amount, "</cbc:TaxExclusiveAmount>")
@@ -436,13 +442,13 @@ def feed_entries(spark: SparkSession, folder: str) -> DataFrame:
             _references("cac:AdditionalDocumentReference", "additional", F.lit(1).cast("bigint"), key),
         ),
     )
-    return table(spark, folder, "part").select(key.alias("page_key"), entry.alias("entry"))
+    return parts.select(key.alias("page_key"), entry.alias("entry"))
 
 
 def feed_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Feed pages of at most 1,000 entries, with a deletion mark before them; one page per row."""
     pages = (
-        feed_entries(spark, folder)
+        _as_entries(table(spark, folder, "part"))
         .groupBy(F.floor(F.col("page_key") / 1000).alias("page"))
         .agg(F.collect_list("entry").alias("entries"))
     )

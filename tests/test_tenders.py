@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.operators import search, tenders
 from tenderloom.schemas import NOTICES, TENDERS
-from tenderloom.sources import documents, tables, tender_feed
+from tenderloom.sources import documents, sample, tables, tender_feed
 
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<feed xmlns="urn:atom" xmlns:b="urn:basic" xmlns:a="urn:parts" xmlns:e="urn:ext" xmlns:at="urn:gone">'
 FULL = """
@@ -251,3 +251,12 @@ def test_elements_at_any_depth(spark):
     for n in range(1, len(bodies)):
         assert all(plain[n][name] == found[n][name] == whole[n][name] for name in TENDERS.names), bodies[n]
     assert plain[0].title is None and all(whole[0][name] == moved[name] for name in TENDERS.names)
+
+
+def test_dense_parts_are_dealt_out_before_they_are_parsed(spark, tmp_path):
+    rows = [(k, f"name {k}", 5, float(k)) for k in range(400)]
+    parts = spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_size int, p_retailprice double")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = sample.feed_entries(spark, str(tmp_path))
+    held = {r.task: r.n for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("entry").alias("n")).collect()}
+    assert sum(held.values()) == 400 and len(held) == 8 and max(held.values()) < 100
