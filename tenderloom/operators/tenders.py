@@ -93,41 +93,74 @@ def _anywhere(*names: str) -> str:
     return path
 
 
-def _text_anywhere(fragment: Column, *names: str) -> Column:
-    return strip_or_null(F.xpath_string(fragment, F.lit(_anywhere(*names))))
+# No XML text can hold it, not even as a character reference.
+_BETWEEN = "\uffff"
 
 
-def _documents_anywhere(entry: Column, element: str, kind: str) -> Column:
+def _texts_anywhere(fragment: Column, *places: tuple[str, ...]) -> Column:
+    """The text at each place, as a list; empty where there is none. One path for all, so one parse of the fragment."""
+    path = f", '{_BETWEEN}', ".join(_anywhere(*names) for names in places)
+    return F.split(F.xpath_string(fragment, F.lit(f"concat({path})")), _BETWEEN)
+
+
+def _documents_anywhere(text: Column, element: str, kind: str) -> Column:
     # Cut out with their tags, whatever the prefix; a reference holds no other reference.
     block = rf"(?s)<((?:[\w.-]+:)?{element})(?:\s[^>]*)?>.*?</\1\s*>"
+    references = F.transform(
+        F.regexp_extract_all(text, F.lit(block), F.lit(0)),
+        lambda reference: _texts_anywhere(reference, ("ID",), ("URI",)),
+    )
     listed = F.transform(
-        F.regexp_extract_all(F.regexp_replace(entry, r"(?s)<!--.*?-->", ""), F.lit(block), F.lit(0)),
-        lambda reference: F.struct(
+        references,
+        lambda texts: F.struct(
             F.lit(kind).alias("kind"),
-            _text_anywhere(reference, "ID").alias("name"),
-            _text_anywhere(reference, "URI").alias("uri"),
+            strip_or_null(F.get(texts, F.lit(0))).alias("name"),
+            strip_or_null(F.get(texts, F.lit(1))).alias("uri"),
         ),
     )
     return F.filter(listed, lambda document: document["uri"].isNotNull())
 
 
-def _found_anywhere(entry: Column) -> dict[str, Column]:
-    amount = F.coalesce(
-        _text_anywhere(entry, "BudgetAmount", "TaxExclusiveAmount"),
-        _text_anywhere(entry, "BudgetAmount", "EstimatedOverallContractAmount"),
-    )
-    documents = F.concat(
-        _documents_anywhere(entry, "LegalDocumentReference", LEGAL),
-        _documents_anywhere(entry, "TechnicalDocumentReference", TECHNICAL),
-    )
+def _references_anywhere(entry: Column) -> Column:
+    uncommented = F.array(F.regexp_replace(entry, r"(?s)<!--.*?-->", ""))
+    return F.transform(
+        uncommented,
+        lambda text: F.concat(
+            _documents_anywhere(text, "LegalDocumentReference", LEGAL),
+            _documents_anywhere(text, "TechnicalDocumentReference", TECHNICAL),
+        ),
+    )[0]
+
+
+_PLACES = (
+    ("id",),
+    ("ContractFolderID",),
+    ("ProcurementProject", "Name"),
+    ("BudgetAmount", "TaxExclusiveAmount"),
+    ("BudgetAmount", "EstimatedOverallContractAmount"),
+    ("ItemClassificationCode",),
+    ("TenderSubmissionDeadlinePeriod", "EndDate"),
+)
+_ANYWHERE = "__anywhere"
+
+
+def _with_anywhere(entries: DataFrame, texts: Column, documents: Column) -> DataFrame:
+    """`entries` with what was found in them at any depth. Through a generator, so that it is looked for once."""
+    return entries.select("*", F.inline(F.array(F.struct(F.struct(texts.alias("texts"), documents.alias("documents")).alias(_ANYWHERE)))))
+
+
+def _found_anywhere() -> dict[str, Column]:
+    def text(place: int) -> Column:
+        return strip_or_null(F.get(F.col(f"{_ANYWHERE}.texts"), F.lit(place)))
+
     return {
-        "entry_id": F.coalesce(_text_anywhere(entry, "id"), F.lit("")),
-        "expediente": _text_anywhere(entry, "ContractFolderID"),
-        "title": _text_anywhere(entry, "ProcurementProject", "Name"),
-        "budget": to_number(amount),
-        "cpv_primary": _text_anywhere(entry, "ItemClassificationCode"),
-        "deadline": leading_date(_text_anywhere(entry, "TenderSubmissionDeadlinePeriod", "EndDate")),
-        "documents": F.coalesce(documents, F.array().cast(TENDERS["documents"].dataType)),
+        "entry_id": F.coalesce(text(0), F.lit("")),
+        "expediente": text(1),
+        "title": text(2),
+        "budget": to_number(F.coalesce(text(3), text(4))),
+        "cpv_primary": text(5),
+        "deadline": leading_date(text(6)),
+        "documents": F.coalesce(f"{_ANYWHERE}.documents", F.array().cast(TENDERS["documents"].dataType)),
     }
 
 
@@ -135,25 +168,34 @@ def parse_entries_anywhere(entries: DataFrame, text: str = "entry") -> DataFrame
     """As `parse_entries`, from entries held as text, and at any depth: each value is that of the first element of its
     name, inside the first block of its parent's name, wherever these are. Other columns are carried along.
 
-    An entry is parsed for each value, which costs several times the declared form; `complete_entries` does so only for
-    entries in which that leaves something out.
+    An entry is parsed once for its values and each of its references once more.
     """
-    found = _found_anywhere(F.col(f"`{text}`"))
+    entry, found = F.col(f"`{text}`"), _found_anywhere()
     carried = [name for name in entries.columns if name != text and name not in found]
-    return entries.select(*carried, *[value.alias(name) for name, value in found.items()])
+    looked = _with_anywhere(entries, _texts_anywhere(entry, *_PLACES), _references_anywhere(entry))
+    return looked.select(*carried, *[value.alias(name) for name, value in found.items()])
 
 
 def complete_entries(parsed: DataFrame, text: str = "entry") -> DataFrame:
     """Entries parsed at their declared paths, with their text carried along, and what those paths did not find looked for
     at any depth. The text is dropped."""
 
+    entry, found = F.col(f"`{text}`"), _found_anywhere()
+
+    def empty(name: str) -> Column:
+        return F.size(name) == 0 if name == "documents" else F.coalesce(F.col(name).cast("string"), F.lit("")) == ""
+
     def completed(name: str, anywhere: Column) -> Column:
-        empty = F.size(name) == 0 if name == "documents" else F.coalesce(F.col(name).cast("string"), F.lit("")) == ""
-        return F.when(empty, anywhere).otherwise(F.col(name)).alias(name)
+        return F.when(empty(name), anywhere).otherwise(F.col(name)).alias(name)
 
-    found = _found_anywhere(F.col(f"`{text}`"))
+    any_empty = F.array_contains(F.array(*[empty(name) for name in found if name != "documents"]), True)
+    looked = _with_anywhere(
+        parsed,
+        F.when(any_empty, _texts_anywhere(entry, *_PLACES)),
+        F.when(empty("documents"), _references_anywhere(entry)),
+    )
     carried = [name for name in parsed.columns if name != text and name not in found]
-    return parsed.select(*carried, *[completed(name, value) for name, value in found.items()])
+    return looked.select(*carried, *[completed(name, value) for name, value in found.items()])
 
 
 def legal_documents(documents: Column) -> Column:

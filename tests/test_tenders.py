@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,3 +261,24 @@ def test_dense_parts_are_dealt_out_before_they_are_parsed(spark, tmp_path):
     found = sample.feed_entries(spark, str(tmp_path))
     held = {r.task: r.n for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("entry").alias("n")).collect()}
     assert sum(held.values()) == 400 and len(held) == 8 and max(held.values()) < 100
+
+
+def test_an_entry_is_parsed_once_for_all_values(spark):
+    entries = spark.createDataFrame([("<entry><id>1</id></entry>",)], "entry string")
+    read = tenders.parse_entries_anywhere(entries).where("entry_id <> '' and budget is null")
+    # One path for the entry, and one in each kind of references.
+    assert len(re.findall(r"xpath_string|XPathString", read._jdf.queryExecution().optimizedPlan().toString())) == 3
+
+
+def test_odd_entries_at_any_depth(spark):
+    texts = [
+        "<entry/>",
+        "<entry><id> </id><Name>no project</Name><EndDate>2026-01-01</EndDate></entry>",
+        "<entry><x><id>a, b|c</id></x><BudgetAmount><TaxExclusiveAmount> </TaxExclusiveAmount>"
+        "<EstimatedOverallContractAmount>7</EstimatedOverallContractAmount></BudgetAmount><ContractFolderID>'f\"</ContractFolderID></entry>",
+        None,
+    ]
+    found = tenders.parse_entries_anywhere(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "n int, entry string"))
+    rows = {r.n: (r.entry_id, r.expediente, r.title, r.budget, r.cpv_primary, r.deadline, r.documents) for r in found.collect()}
+    blank = ("", None, None, None, None, None, [])
+    assert rows == {0: blank, 1: blank, 2: ("a, b|c", "'f\"", None, 7.0, None, None, []), 3: blank}
