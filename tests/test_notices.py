@@ -191,3 +191,11 @@ def test_white_space_and_case_of_every_letter(spark):
 def test_leading_date_keeps_the_day(spark):
     frame = spark.createDataFrame([("2025-01-02+14:00",), ("2025-01-02-11:00",)], "t string")
     assert {row[0] for row in frame.select(leading_date(F.col("t"))).collect()} == {dt.date(2025, 1, 2)}
+
+
+@pytest.mark.parametrize("value", ["7", "1.5", "1e400", "true", "null", "[]", "{}", '[["a"]]', '[{"a":"b"}]', "[7]"])
+def test_only_json_strings_are_texts(spark, value):
+    """Also as the value of a language, or as the first of its list."""
+    hits = [f'{{"publication-number":"1","notice-title":{shape}}}' for shape in (value, f'{{"spa":{value},"eng":"e é"}}')]
+    found = normalize_notices(spark.createDataFrame([(hit,) for hit in hits], "notice string")).collect()
+    assert [r.title for r in found] == [None, "e é"]
