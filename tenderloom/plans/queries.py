@@ -70,7 +70,8 @@ def _relinked(spark: SparkSession, folder: str) -> DataFrame:
         ]
     )
     touched = before.join(changes, "publication_number", "left_semi").select("procedure_id")
-    return links.relink(links.link_procedures(before), after, touched)
+    linked = stored(links.link_procedures(before), "links")
+    return links.relink(linked, after, stored(touched.distinct(), "touched"))
 
 
 # --- notices and tenders from their landed form ------------------------------------------
