@@ -120,3 +120,17 @@ def test_no_python_in_any_plan(spark, sample):
         text = plan(query(spark, sample))
         assert not re.search(r"(PythonUDF|ArrowEval|MapInPandas|BatchEvalPython|FlatMapGroupsInPandas)", text), name
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_notices_are_put_together_once_before_links_are_redone(spark, sample):
+    """What links are compared with is stored, so the award notices are not worked out again for each reader."""
+    text = queries.queries()["incremental_dataset"](spark, sample)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in text and "o_orderkey" not in text
+    relinked = queries.queries()["relink_procedures"](spark, sample)._jdf.queryExecution().optimizedPlan().toString()
+    # Once for the notices after the corrections; links and touched procedures are read from files.
+    assert relinked.count("lineitem") + relinked.count("collect_list") <= 2, relinked
+
+
+def test_texts_of_hits_are_not_told_by_their_schema(spark, sample):
+    text = queries.queries()["scan_ted_pages"](spark, sample)._jdf.queryExecution().optimizedPlan().toString()
+    assert "schema_of_variant" not in text and "schemaofvariant" not in text.lower()
