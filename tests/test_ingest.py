@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import shutil
 import time
 
 import pytest
@@ -306,3 +307,46 @@ def test_the_check_for_numbers_does_not_depend_on_what_is_read(spark):
     for job in (checked.count, checked.select("title").collect):
         with pytest.raises(Exception, match="without a publication number"):
             job()
+
+
+def test_whole_rows_are_shuffled_once_and_not_again_when_a_batch_is_repeated(spark, tmp_path):
+    table, steps = bucketed_table(str(tmp_path / "t"), "k", KEYED, 4), tmp_path / "t" / "_steps"
+
+    def change(*rows):
+        return spark.createDataFrame(rows, "k string, v int, removed boolean")
+
+    def state():
+        return dict(map(tuple, table.read(spark).collect()))
+
+    # Folders without rows: the batch itself is enough, and no copy of it is kept.
+    table.replace(change(*[(f"k{n}", n, False) for n in range(100)], (None, -1, False)), 2)
+    assert state() == {f"k{n}": n for n in range(100)} and not (steps / "merged-0").exists()
+
+    rows = change(*[(f"k{n}", -n, False) for n in range(90, 110)], *[(f"k{n}", None, True) for n in (*range(5), 200)])
+    after = {f"k{n}": n for n in range(5, 90)} | {f"k{n}": -n for n in range(90, 110)}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        placed = rows.withColumns(table.places)
+        merged = table._merged(placed, table._stored(spark), table._replacement(spark, placed, [(0,), (1,), (2,), (3,)]))
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Exchange rangepartitioning(bucket" in plan
+        table.replace(rows, 3)
+        assert state() == after
+        assert {name.name for name in (steps / "merged-1").iterdir() if name.is_dir()} == {f"bucket={n}" for n in range(4)}
+        # A driver was lost while folders were replaced: one is gone, and the batch is run again.
+        shutil.rmtree(tmp_path / "t" / "bucket=1")
+        assert state() != after
+        table.replace(rows, 3)
+        assert state() == after
+        # Of an older version's step nothing is left behind.
+        one = change(("k50", 0, False))
+        for version in (4, 5):
+            table.replace(one, version)
+        assert len([name for name in (steps / "merged-1").iterdir() if name.is_dir()]) == 1
+        assert state() == after | {"k50": 0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
