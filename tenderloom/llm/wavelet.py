@@ -262,7 +262,10 @@ def write_shards(
     store.create_dir(root, recursive=True)  # there without documents too
     rows = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
-    files = written(ordered.mapInArrow(build, "shard string, n_docs long, n_tokens long"), "shards")
+    files = ordered.mapInArrow(build, "shard string, n_docs long, n_tokens long")
+    # A row or two from each task. Spark's writer of a local file starts a process for its rights, a copy of the executor
+    # to all who look at its memory, so the rows go to a few files and not to one from each task.
+    files = written(files.repartition(docs.sparkSession.sparkContext.defaultParallelism), "shards")
     # One row for each file, in the order of their names.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))

@@ -127,6 +127,16 @@ def test_files_hold_all_documents_in_order(spark, odd_docs, no_docs):
     assert wavelet.read_documents(spark, empty).collect() == []
 
 
+def test_rows_of_many_shards_lie_in_few_files(spark, monkeypatch):
+    kept, write = [], wavelet.written
+    monkeypatch.setattr(wavelet, "written", lambda *args: kept.append(write(*args)) or kept[-1])
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda self, key, f=type(spark.range(0)).repartitionByRange: f(self, 40, key))
+    folder = shared_folder(spark, "test-wavelet")
+    files = wavelet.write_shards(spark.range(400).selectExpr("id AS doc_id", "'one two' AS text"), folder)
+    assert files.count() > 30 and files.agg(F.sum("n_docs")).first()[0] == 400
+    assert len(kept[0].inputFiles()) <= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("scheme", ["s3", "s3a", "s3n"])
 def test_shards_can_lie_in_s3(monkeypatch, scheme):
     asked = []
