@@ -226,6 +226,7 @@ def document_classes(
     that stands for the class), n_links and n_set_links."""
     bands, rows = choose_bands(threshold, recall)
     signed = written(signatures(docs, text, size, bands, rows), "signatures")
+    n = signed.count()
     full = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     # A set is a node of its own, also where several have the same least id. The numbers are fixed once they are written.
     sets = written(
@@ -238,20 +239,22 @@ def document_classes(
         )
         .withColumn("node", F.monotonically_increasing_id()),
         "sets",
+        n,
     )
 
     # Buckets with two nodes or more, and the least node of each.
     held = sets.select("node", F.explode("bands").alias("bucket"))
     heads = held.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last")
-    heads = written(heads.select("bucket", "head"), "buckets")
-    groups = components(held.join(heads, "bucket").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    heads = written(heads.select("bucket", "head"), "buckets", n * bands)
+    edges = held.join(heads, "bucket").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    groups = components(edges, n * bands)
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
 
     # Large groups are cut into blocks; every pair of blocks is a unit of work.
     named = sets.select("node", "n_docs", "n_shingles", "least.doc_id", "least.digest")
-    known = written(groups.join(named, "node"), "nodes")
+    known = written(groups.join(named, "node"), "nodes", 2 * n)
     weight = F.greatest(F.count("*") / block_nodes, F.sum("n_shingles") / block_shingles)
-    parts = written(known.groupBy("root").agg(F.ceil(weight).cast("int").alias("parts")), "parts")
+    parts = written(known.groupBy("root").agg(F.ceil(weight).cast("int").alias("parts")), "parts", n)
     placed = known.join(parts, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_digest(text).alias("digest"), F.col(f"`{text}`").alias("text")
@@ -263,7 +266,8 @@ def document_classes(
     links = written(links_within(pairs, threshold), "links")
 
     counts = links.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n_set_links", "n_doc_links")])
-    classes = components(links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    edges = links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    classes = components(edges, links.count())
     of_sets = written(
         sets.select("high", "low", "least", "node", "n_docs")
         .join(counts, "node", "left")
@@ -277,6 +281,7 @@ def document_classes(
             F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"),
         ),
         "classes",
+        n,
     )
     first = of_sets.groupBy("root").agg(F.min("least").alias("of_class"))
     of_sets = of_sets.join(first, "root").select(

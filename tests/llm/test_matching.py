@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tenderloom.llm import components as stars
 from tenderloom.llm import decontaminate, jaccard
 from tenderloom.llm.components import components
 
@@ -129,6 +130,44 @@ ITEMS = [
 ]
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles into many partitions that Spark does not put together."""
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def kept_frames(monkeypatch, module):
+    """What a module writes from now on."""
+    frames, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda *args: frames.append(write(*args)) or frames[-1])
+    return frames
+
+
+def test_components_of_few_edges_cost_few_files_and_no_round_more(spark, many_partitions, monkeypatch):
+    frames = kept_frames(monkeypatch, stars)
+    done = spark.range(1, 200).selectExpr("id AS a", "id % 7 - 7 AS b")
+    assert {(r["node"], r["root"]) for r in components(done, 199).collect()} == {(k, k % 7 - 7) for k in range(1, 200)}
+    assert len(frames) == 2  # edges that are stars already are written and looked at, no more
+    path = spark.range(1, 20).selectExpr("id AS a", "id - 1 AS b")
+    assert {(r["node"], r["root"]) for r in components(path, 19).collect()} == {(k, 0) for k in range(1, 20)}
+    assert max(len(f.inputFiles()) for f in frames) <= spark.sparkContext.defaultParallelism
+
+
+def test_near_duplicates_of_few_rows_write_few_files(spark, copies, many_partitions, monkeypatch):
+    frames = kept_frames(monkeypatch, jaccard)
+    frame = spark.createDataFrame(copies, "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["class_id"] for r in jaccard.near_duplicates(frame).collect()}
+    assert found == {key: value[0] for key, value in plain_classes(copies).items()}
+    many = [len(f.inputFiles()) for f in frames if "n_doc_links" not in f.columns]
+    assert max(many) <= spark.sparkContext.defaultParallelism
+
+
 def plain_alignment(item, text):
     above, best = [0] * (len(text) + 1), 0
     for word in item:
