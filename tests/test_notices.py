@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import unicodedata
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from tenderloom.functions.outcomes import award_outcome, notice_kind
 from tenderloom.functions.text import fold_case, leading_date, strip, to_number
 from tenderloom.operators.normalize import normalize_notices, require_keyed, split_unkeyed
+from tenderloom.plans import queries
 from tenderloom.schemas import NOTICES
+from tenderloom.sources import sample as tables
 
 
 TITLES = [
@@ -199,3 +202,15 @@ def test_only_json_strings_are_texts(spark, value):
     hits = [f'{{"publication-number":"1","notice-title":{shape}}}' for shape in (value, f'{{"spa":{value},"eng":"e é"}}')]
     found = normalize_notices(spark.createDataFrame([(hit,) for hit in hits], "notice string")).collect()
     assert [r.title for r in found] == [None, "e é"]
+
+
+def test_sample_pages_are_landed_compressed_in_files_of_some_pages(spark, sample, monkeypatch):
+    monkeypatch.setattr(queries, "_LANDED", {})
+    monkeypatch.setattr(queries, "PAGES_A_FILE", 50)
+    scanned = queries.queries()["scan_ted_pages"](spark, sample)
+    [folder] = queries._LANDED.values()
+    files = list(Path(folder.removeprefix("file:")).glob("part-*"))
+    pages = tables.notice_pages(spark, sample).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("size")).first()
+    assert len(files) >= pages.n / 50
+    assert sum(file.stat().st_size for file in files) < pages.size / 4
+    assert scanned.count() == queries.queries()["normalize_notices"](spark, sample).count()
