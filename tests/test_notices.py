@@ -214,3 +214,30 @@ def test_sample_pages_are_landed_compressed_in_files_of_some_pages(spark, sample
     assert len(files) >= pages.n / 50
     assert sum(file.stat().st_size for file in files) < pages.size / 4
     assert scanned.count() == queries.queries()["normalize_notices"](spark, sample).count()
+
+
+def test_first_entries_and_languages_are_read_without_paths_that_may_not_fit(spark):
+    text = typed_plan(spark)
+    assert "$[0]" not in text and "$.spa" not in text and "variant" in text
+
+
+def typed_plan(spark):
+    return normalize_notices(spark.createDataFrame([("{}",)], "notice string"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    ("title", "date", "expected"),
+    [
+        ({"spa": None, "eng": ["", "x"], "fra": "f"}, [["2024-01-02"]], ("f", None)),
+        ({"eng": [["in"]], "spa": {"a": "b"}}, [None, "2024-01-02"], (None, None)),
+        ([None, "second"], ["2024-01-02", 5], (None, dt.date(2024, 1, 2))),
+        (["first", {"a": 1}], [], (None, None)),
+        ({"SPA": "upper", "spa": "lower"}, "2024-01-02Z", ("lower", dt.date(2024, 1, 2))),
+        ({}, {"a": 1}, (None, None)),
+        (True, 7, (None, None)),
+    ],
+)
+def test_odd_shapes_of_titles_and_dates(spark, title, date, expected):
+    hit = json.dumps({"publication-number": "1", "notice-title": title, "publication-date": date})
+    row = normalize_notices(spark.createDataFrame([(hit,)], "notice string")).first()
+    assert (row.title, row.publication_date) == expected
